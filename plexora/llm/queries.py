@@ -65,15 +65,15 @@ s AS (SELECT grp FROM g GROUP BY grp HAVING count(*) >= 2)
 _EXPR = ("obs_id", "batch", "obs_names", "tissue")
 
 
-@REG.add("p3_found", _TIED + "SELECT obs_id, substr(grp, 2) AS group_batch FROM g JOIN s USING (grp) WHERE grp LIKE 'b%'")
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return splits.found_groups(table(spark, d, "expression", *_EXPR), *_EXPR)
-
-
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(table(spark, d, "expression", *_EXPR), table(spark, d, "split_target"), *_EXPR, "split", "proportion")
 
 
+@REG.add("p3_found", _TIED + "SELECT obs_id, substr(grp, 2) AS group_batch FROM g JOIN s USING (grp) WHERE grp LIKE 'b%'")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.found_groups(_assigned(spark, d), "obs_id")
+
+
 @REG.add("p3_assign")
 def p3_assign(spark: SparkSession, d: str) -> DataFrame:
     return _assigned(spark, d).select("obs_id", "split")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -67,12 +67,6 @@ def tied_groups(df: DataFrame, key: str, batch: str, name: str, label: str) -> D
     return rows.select("key_", "label_", "pair_").join(info, "pair_").select(F.col("key_").alias(key), "label_", "group_", "group_size_")
 
 
-def found_groups(df: DataFrame, key: str, batch: str, name: str, label: str) -> DataFrame:
-    """``(key, group_batch)`` of the rows whose group has two rows or more and a batch."""
-    g = tied_groups(df, key, batch, name, label)
-    return g.where((F.col("group_size_") >= 2) & F.startswith("group_", F.lit("b:"))).select(key, F.substring("group_", 3, 1 << 30).alias("group_batch"))
-
-
 def _cost(dev: np.ndarray, weight: np.ndarray) -> float:
     return float((dev * dev * weight).sum())
 
@@ -148,7 +142,7 @@ def _block_work(cols: list[str], props: np.ndarray, weight: np.ndarray, dev: np.
     return work
 
 
-def split_components(groups: DataFrame, targets: DataFrame, key: str, split: str, proportion: str, replicas: int = 3, rounds: int = 3, seed: int = 7) -> DataFrame:
+def split_components(groups: DataFrame, targets: DataFrame, split: str, proportion: str, replicas: int = 3, rounds: int = 3, seed: int = 7) -> DataFrame:
     """``(group_, split)``: whole components assigned near the target proportions.
 
     Starts from a hashed assignment. In each round the components are hashed
@@ -219,8 +213,16 @@ def _targets(targets: DataFrame, split: str, proportion: str) -> tuple[list[str]
     return [r[split] for r in got], p / p.sum()
 
 
-def assign_splits(df: DataFrame, targets: DataFrame, key: str, batch: str, name: str, label: str, split: str, proportion: str, columns: Sequence[str] = ()) -> DataFrame:
-    """``(key, label_, split)``: one row per row of ``df``, tied rows together."""
+def assign_splits(df: DataFrame, targets: DataFrame, key: str, batch: str, name: str, label: str, split: str, proportion: str) -> DataFrame:
+    """``(key, label_, group_, group_size_, split)``: one row per row of ``df``,
+    tied rows together (see :func:`tied_groups`), the split as chosen by
+    :func:`split_components`. An empty table gives no rows."""
     groups = materialize(tied_groups(df, key, batch, name, label), "tied")
-    parts = split_components(groups, targets, key, split, proportion)
-    return groups.join(parts, "group_").select(key, "label_", "split", *columns)
+    return groups.join(split_components(groups, targets, split, proportion), "group_")
+
+
+def found_groups(assigned: DataFrame, key: str) -> DataFrame:
+    """``(key, group_batch)`` of the assigned rows whose group has two rows or
+    more and a batch."""
+    kept = assigned.where((F.col("group_size_") >= 2) & F.startswith("group_", F.lit("b:")))
+    return kept.select(key, F.substring("group_", 3, 1 << 30).alias("group_batch"))
