@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexora.llm import cutoffs, splits
+from plexora.llm import cutoffs, neighbors, overlap, splits, topn
 from plexora.plans.registry import Registry
 from plexora.session import table
 
@@ -88,3 +88,100 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return per.join(F.broadcast(target), "split").select(
         "split", F.col("label_").alias("tissue"), "n_rows", "proportion", (F.col("n_rows") / F.when(F.col("label_").isNull(), every)).alias("share")
     )
+
+
+# ---------------------------------------------------------------- problem 4
+
+_COSINE = """
+WITH x AS (
+  SELECT emb_id, node_gene_ids, CAST(node_embeddings AS DOUBLE[]) AS v FROM node_embeddings
+  WHERE node_embeddings IS NOT NULL AND len(node_embeddings) = 64
+    AND len(list_filter(node_embeddings, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0
+    AND len(list_filter(node_embeddings, lambda y: y <> 0)) > 0),
+p AS (SELECT a.emb_id AS i, b.emb_id AS j, b.node_gene_ids AS g, round(list_cosine_similarity(a.v, b.v), 12) AS sim
+      FROM x a JOIN x b ON a.emb_id <> b.emb_id {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rk FROM p),
+t AS (SELECT * FROM r WHERE rk <= 10)
+"""
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "node_embeddings", "emb_id", "node_gene_ids", "node_embeddings")
+
+
+@REG.add("p4_found", _COSINE.format(where="") + "SELECT DISTINCT least(i, j) AS emb_id_a, greatest(i, j) AS emb_id_b FROM t WHERE sim >= 0.9")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbors.similar(_nodes(spark, d), "emb_id", "node_embeddings")
+    return neighbors.similar_pairs(near).select(F.col("a").alias("emb_id_a"), F.col("b").alias("emb_id_b"))
+
+
+@REG.add(
+    "p4_similar",
+    _COSINE.format(where="AND a.emb_id % 20 = 0") + "SELECT i AS emb_id, CAST(rk AS INTEGER) AS rank, j AS neighbour, g AS neighbour_gene, round(sim, 6) AS cosine FROM t",
+)
+def p4_similar(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose id is divisible by 20 asks; all rows answer."""
+    nodes = _nodes(spark, d)
+    near = neighbors.similar(nodes, "emb_id", "node_embeddings", queries="id_ % 20 = 0")
+    genes = nodes.select(F.col("emb_id").alias("nbr_"), F.col("node_gene_ids").alias("neighbour_gene"))
+    return near.join(genes, "nbr_").select(
+        F.col("id_").alias("emb_id"), F.col("rank_").alias("rank"), F.col("nbr_").alias("neighbour"), "neighbour_gene", F.round("sim_", 6).alias("cosine")
+    )
+
+
+# ---------------------------------------------------------------- problem 5
+
+_NAMES = """
+WITH r AS (
+  SELECT obs_id, regexp_replace(lower(obs_names), '[^a-z0-9]', '', 'g') AS x, lower(trim(split, ' \t\n\r')) AS s, lower(trim(tissue, ' \t\n\r')) AS g
+  FROM expression WHERE obs_names IS NOT NULL AND split IS NOT NULL),
+q AS (SELECT * FROM r WHERE x NOT IN ('', 'na', 'unknown')),
+t AS (SELECT * FROM q WHERE s = 'trn'),
+e AS (SELECT * FROM q WHERE s IN ('val', 'tst')),
+m AS (SELECT DISTINCT a.x AS a, b.x AS b FROM (SELECT DISTINCT x FROM t) a JOIN (SELECT DISTINCT x FROM e) b
+      ON abs(length(a.x) - length(b.x)) <= 2 AND levenshtein(a.x, b.x) <= 2),
+p AS (SELECT t.obs_id AS i, e.obs_id AS j, e.s, e.g, t.x = e.x AS same FROM m JOIN t ON t.x = m.a JOIN e ON e.x = m.b)
+"""
+_OBS = ("obs_id", "obs_names", "split", "tissue")
+
+
+def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return overlap.overlaps(overlap.canonical_rows(table(spark, d, "expression", *_OBS), *_OBS), "trn", ("val", "tst"))
+
+
+@REG.add("p5_found", _NAMES + "SELECT DISTINCT least(i, j) AS obs_id_a, greatest(i, j) AS obs_id_b FROM p WHERE i <> j")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_pairs(*_overlaps(spark, d)).select(F.col("a").alias("obs_id_a"), F.col("b").alias("obs_id_b"))
+
+
+@REG.add(
+    "p5_counts",
+    _NAMES + "SELECT s AS split, g AS tissue, count(DISTINCT j) AS n_rows, count(DISTINCT j) FILTER (WHERE same) AS n_exact, count(*) AS n_pairs FROM p GROUP BY ALL",
+)
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_counts(*_overlaps(spark, d)).withColumnsRenamed({"split_": "split", "group_": "tissue"})
+
+
+# ---------------------------------------------------------------- problem 6
+
+_TOP = """
+WITH p AS (
+  SELECT npz_id, least(u, v) AS a, greatest(u, v) AS b, max(w) AS w FROM bulk_nmic
+  WHERE npz_id IS NOT NULL AND u >= 0 AND v >= 0 AND u <> v AND w IS NOT NULL AND NOT isnan(w) GROUP BY ALL),
+s AS (SELECT npz_id, a AS feature, b AS partner, w FROM p UNION ALL SELECT npz_id, b, a, w FROM p),
+t AS (SELECT *, row_number() OVER (PARTITION BY npz_id, feature ORDER BY w DESC, partner) AS rk FROM s QUALIFY rk <= 3)
+"""
+
+
+def _top(spark: SparkSession, d: str) -> DataFrame:
+    return topn.top_items(table(spark, d, "bulk_nmic", "npz_id", "u", "v", "w"), "npz_id", "u", "v", "w", 3)
+
+
+@REG.add("p6_top", _TOP + "SELECT npz_id, feature, partner, w, CAST(rk AS INTEGER) AS rank FROM t")
+def p6_top(spark: SparkSession, d: str) -> DataFrame:
+    return _top(spark, d).withColumnsRenamed({"run_": "npz_id", "item_": "feature", "other_": "partner", "w_": "w", "rank_": "rank"})
+
+
+@REG.add("p6_found", _TOP + "SELECT DISTINCT npz_id, least(feature, partner) AS u, greatest(feature, partner) AS v FROM t")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return topn.kept_pairs(_top(spark, d)).withColumnsRenamed({"run_": "npz_id", "a_": "u", "b_": "v"})
