@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexora.llm import cutoffs, neighbors, overlap, splits, topn
+from plexora.llm import cutoffs, encoding, mixing, neighbors, overlap, packing, splits, topn
 from plexora.plans.registry import Registry
 from plexora.session import table
 
@@ -185,3 +185,103 @@ def p6_top(spark: SparkSession, d: str) -> DataFrame:
 @REG.add("p6_found", _TOP + "SELECT DISTINCT npz_id, least(feature, partner) AS u, greatest(feature, partner) AS v FROM t")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.kept_pairs(_top(spark, d)).withColumnsRenamed({"run_": "npz_id", "a_": "u", "b_": "v"})
+
+
+# ---------------------------------------------------------------- problem 7
+
+
+@REG.add("p7_found", "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 4096")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    packed = packing.pack(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return packed.where("piece_ = 1").select(F.col("id_").alias("doc_id")).distinct()
+
+
+@REG.add("p7_packed")
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    packed = packing.pack(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return packed.withColumnsRenamed({"id_": "doc_id", "piece_": "piece", "start_": "start_token", "size_": "n_tokens", "box_": "container"})
+
+
+@REG.add("p7_report")
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(packing.pack(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text"))
+
+
+# ---------------------------------------------------------------- problem 8
+
+_SOURCES = """
+WITH x AS (SELECT lower(trim(source, ' \t\n\r')) AS s, coalesce(strlen(text), 0) AS n FROM documents),
+p AS (
+  SELECT t.source, t.target_share, t.max_repeats, CAST(coalesce(sum(x.n), 0) AS BIGINT) AS tokens, count(x.s) AS n_docs
+  FROM mix_target t LEFT JOIN x ON x.s = t.source GROUP BY ALL)
+"""
+
+
+def _mix(spark: SparkSession, d: str, whole: bool) -> tuple[DataFrame, list[mixing.Source]]:
+    """Sizes and plan; of a mix as large as the corpus if ``whole``."""
+    from plexora.session import materialize
+
+    sizes = materialize(mixing.document_sizes(table(spark, d, "documents", "doc_id", "text", "source"), "doc_id", "text", "source"), "sizes")
+    total = sizes.agg(F.sum("n_")).first()[0] if whole else None
+    plan, _, _ = mixing.mix_plan(sizes, table(spark, d, "mix_target"), "source", "target_share", "max_repeats", total)
+    return sizes, plan
+
+
+@REG.add(
+    "p8_found",
+    _SOURCES + "SELECT source FROM p WHERE target_share * (SELECT sum(n) FROM x) > max_repeats * tokens",
+)
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    sizes, plan = _mix(spark, d, whole=True)
+    report = mixing.mix_report(mixing.mix(sizes, plan), plan)
+    return report.where("not fillable").select("source")
+
+
+@REG.add(
+    "p8_sources",
+    _SOURCES + "SELECT source, target_share, max_repeats, tokens, n_docs, NOT target_share * (SELECT sum(n) FROM x) > max_repeats * tokens AS fillable FROM p",
+)
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    sizes, plan = _mix(spark, d, whole=True)
+    return mixing.mix_report(mixing.mix(sizes, plan), plan).select("source", "target_share", "max_repeats", "tokens", "n_docs", "fillable")
+
+
+@REG.add("p8_mix")
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mix in which every source with tokens has its target share."""
+    sizes, plan = _mix(spark, d, whole=False)
+    return mixing.mix(sizes, plan).withColumnsRenamed({"id_": "doc_id", "source_": "source", "n_": "n_tokens", "uses_": "n_uses"})
+
+
+@REG.add("p8_report")
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    sizes, plan = _mix(spark, d, whole=False)
+    return mixing.mix_report(mixing.mix(sizes, plan), plan)
+
+
+@REG.add("p8_tempered_report")
+def p8_tempered_report(spark: SparkSession, d: str) -> DataFrame:
+    """A mix as large as the corpus, tempered towards the targets as far as the repeats allow."""
+    sizes, plan = _mix(spark, d, whole=True)
+    return mixing.mix_report(mixing.mix(sizes, plan), plan)
+
+
+# ---------------------------------------------------------------- problem 9
+
+
+@REG.add("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    evidence, _ = encoding.garbled_words(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return evidence.select(F.col("id_").alias("doc_id")).distinct()
+
+
+@REG.add("p9_restored")
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    out = encoding.restored(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return out.withColumnsRenamed({"id_": "doc_id", "text_": "text"})
+
+
+@REG.add("p9_words")
+def p9_words(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct garbled words with their originals and the chains of encodings."""
+    return encoding.garbled_words(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")[1]
