@@ -119,5 +119,5 @@ def pair_of(x: Column | str) -> Column:
     out = F.lit(None).cast("array<string>")
     for sep in (":", ",", "--"):
         parts = F.split(c, sep, -1)
-        out = F.when(F.contains(c, F.lit(sep)), F.when(F.size(parts) == 2, F.transform(parts, F.trim))).otherwise(out)
+        out = F.when(F.contains(c, F.lit(sep)), F.when(F.size(parts) == 2, F.transform(parts, lambda y: F.trim(y)))).otherwise(out)
     return out

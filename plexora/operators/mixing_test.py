@@ -1,0 +1,65 @@
+"""Batch mixing among nearest neighbours."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from plexora.functions.scalar import norm
+
+
+def chi2_tail(x: float, k: int) -> float:
+    """Upper tail of the chi-squared distribution with ``k`` degrees of freedom,
+    by the series or continued fraction of the incomplete gamma function."""
+    if x <= 0 or k <= 0:
+        return 1.0
+    a, x = k / 2, x / 2
+    scale = math.exp(-x + a * math.log(x) - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while abs(term) > abs(total) * 1e-15:
+            n += 1
+            term *= x / n
+            total += term
+        return max(0.0, 1 - total * scale)
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    h = d
+    for i in range(1, 500):
+        an = -i * (i - a)
+        b += 2
+        d = 1 / (an * d + b or 1e-300)
+        c = b + an / c or 1e-300
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return h * scale
+
+
+def neighbourhood_chi2(points: DataFrame, k: int, alpha: float = 0.05) -> DataFrame:
+    """One row ``(n, rejected, acceptance)``: for every row ``(node, batch, vec)``
+    the batches among its ``k`` nearest rows are tested against the overall
+    shares; ``acceptance`` is the share of rows not rejected at ``alpha``.
+
+    The neighbours are exact, every row of a bounded evaluation set against all.
+    """
+    a = points.select(F.col("node").alias("u"), F.col("vec").alias("x"))
+    b = points.select(F.col("node").alias("v"), F.col("batch"), F.col("vec").alias("y"))
+    d = norm(F.zip_with("x", "y", lambda p, q: p.cast("double") - q.cast("double")))
+    rank = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
+    near = a.join(b, F.col("u") != F.col("v")).select("u", "v", "batch", d.alias("d")).withColumn("r", rank).where(F.col("r") <= k)
+    seen = near.groupBy("u", "batch").agg(F.count(F.lit(1)).alias("o"))
+    total = points.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    share = {r["batch"]: r["c"] / total for r in points.groupBy("batch").agg(F.count(F.lit(1)).alias("c")).limit(10_000).collect()}
+    want = F.create_map(*(x for b_, s in share.items() for x in (F.lit(b_), F.lit(s * k)))) if share else F.create_map()
+    e = F.try_element_at(want, F.col("batch"))
+    # sum over seen batches of o^2 / e, less k, is the statistic over all batches
+    stat = seen.groupBy("u").agg((F.sum(F.col("o") * F.col("o") / e) - F.sum("o")).alias("x"))
+    low, high = 0.0, 1e4
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_tail(mid, len(share) - 1) > alpha else (low, mid)
+    return stat.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") > high).alias("rejected"), F.avg((F.col("x") <= high).cast("double")).alias("acceptance"))
