@@ -22,7 +22,8 @@ RATIO = 2
 #: Documents that must have a word for it to count as clean.
 SUPPORT = 2
 
-_WORD = r"[A-Za-z]*[^\x00-\x7F][A-Za-z[^\x00-\x7F]]*"
+# a run is tried from its first letter only: linear also over very long ASCII runs
+_WORD = r"(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7F][A-Za-z[^\x00-\x7F]]*+"
 _PIECE = _WORD + r"|[A-Za-z]+|[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _REFERENCE = r"&#(?:[0-9]{2,7}|[xX][0-9A-Fa-f]{2,6});"
 #: Control characters that no written text has, but wrong decoding leaves.
@@ -108,10 +109,12 @@ def _variants(form: str) -> set[str]:
 
 
 def _form_rows(cross: bool, least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    names = ["form", "word", "chain", "docs"]
+
     def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = _tables()
         for p in parts:
-            out = []
+            out, size = [], 0
             for word, docs in zip(p["word"], p["docs"]):
                 seen = {word}
                 for form, chain in garbled_forms(word, tables, cross):
@@ -119,7 +122,11 @@ def _form_rows(cross: bool, least: int) -> Callable[[Iterator[pd.DataFrame]], It
                         if len(v) >= least and v not in seen:
                             seen.add(v)
                             out.append((v, word, chain, docs))
-            yield pd.DataFrame(out, columns=["form", "word", "chain", "docs"])
+                            size += len(v) + len(word) + 100
+                if size > 4_000_000:  # words may be whole sentences
+                    yield pd.DataFrame(out, columns=names)
+                    out, size = [], 0
+            yield pd.DataFrame(out, columns=names)
 
     return make
 
@@ -161,13 +168,15 @@ def clean_characters(vocabulary: DataFrame, fixes: DataFrame) -> DataFrame:
 
 
 def _grams(word: Column) -> Column:
-    """All runs of 2 to :data:`LONGEST` characters of a word."""
+    """All runs of 2 to :data:`LONGEST` characters of a word, cut from the array
+    of its characters: linear in the word's length."""
+    chars = F.split(word, "")
     n = F.length(word)
     return F.array_distinct(
         F.flatten(
             F.transform(
                 F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-                lambda i: F.transform(F.sequence(F.lit(2), F.greatest(F.least(F.lit(LONGEST), n - i + 1), F.lit(2))), lambda k: F.substring(word, i, k)),
+                lambda i: F.transform(F.sequence(F.lit(2), F.greatest(F.least(F.lit(LONGEST), n - i + 1), F.lit(2))), lambda k: F.array_join(F.slice(chars, i, k), "")),
             )
         )
     )
