@@ -61,6 +61,13 @@ def cosine(a: Column | str, b: Column | str, least: float = 1e-8) -> Column:
     return F.when((n[0] < least) | (n[1] < least), F.lit(0.0)).otherwise(dot(a, b) / (n[0] * n[1]))
 
 
+def pearson(x: Column | str, y: Column | str) -> Column:
+    """Correlation as an aggregate over rows where both sides are known; null
+    where a side is constant. (The built-in one fails there in ANSI mode.)"""
+    a, b = (F.when(col(q).isNotNull(), col(p).cast("double")) for p, q in ((x, y), (y, x)))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def argmax(a: Column | str) -> Column:
     """0-based place of the first maximum of an array; null for an empty one."""
     c = col(a)
@@ -109,7 +116,7 @@ def edge_class(a_new: Column, b_new: Column) -> Column:
 
 def param_hash(values: Column | str) -> Column:
     """md5 of an array's decimal texts, to tell whether parameters changed."""
-    return F.md5(F.concat_ws(",", F.transform(col(values), lambda x: F.format_number(x.cast("double"), "0.000000"))))
+    return F.md5(F.concat_ws(",", F.transform(col(values), lambda x: F.format_string("%.6f", x.cast("double")))))
 
 
 def pair_of(x: Column | str) -> Column:

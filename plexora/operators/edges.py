@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plexora.functions.scalar import edge_class, finite
+from plexora.functions.scalar import edge_class, finite, pearson
 from plexora.session import small_side
 
 #: The fixed form of a fused edge table.
@@ -224,7 +224,7 @@ def knn_completion(long: DataFrame, vocabulary: DataFrame, edges: DataFrame, k:
     z = long.where(finite("value"))
     a = z.join(small_side(lonely), "feat").select("obs", F.col("feat").alias("new_"), F.col("value").alias("x"))
     b = z.join(small_side(tag.where("old_or_new = 'old'").select("feat")), "feat").select("obs", F.col("feat").alias("old_"), F.col("value").alias("y"))
-    r = a.join(b, "obs").groupBy("new_", "old_").agg(F.corr("x", "y").alias("r"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    r = a.join(b, "obs").groupBy("new_", "old_").agg(pearson("x", "y").alias("r"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
     c = r.where("sx > 1e-12 and sy > 1e-12").select("new_", "old_", F.abs("r").alias("c"))
     rank = F.row_number().over(Window.partitionBy("new_").orderBy(F.desc("c"), "old_"))
     near = c.withColumn("r_", rank).where((F.col("r_") <= k) & (F.col("c") >= least))

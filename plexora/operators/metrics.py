@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexora.functions.scalar import finite
+from plexora.functions.scalar import finite, pearson
 
 
 def with_rank(df: DataFrame, value: str, group: list[str], out: str) -> DataFrame:
@@ -18,7 +18,7 @@ def with_rank(df: DataFrame, value: str, group: list[str], out: str) -> DataFram
 def guarded_corr(x: str, y: str) -> Column:
     """Pearson correlation as an aggregate; NaN where a side is constant."""
     flat = (F.stddev_pop(x) < 1e-12) | (F.stddev_pop(y) < 1e-12)
-    return F.when(flat, F.lit(float("nan"))).otherwise(F.corr(x, y))
+    return F.when(flat, F.lit(float("nan"))).otherwise(pearson(x, y))
 
 
 def errors(pairs: DataFrame, axis: str) -> DataFrame:
@@ -142,8 +142,8 @@ def auroc(probs: DataFrame, truth: DataFrame) -> DataFrame:
         F.sum("k").over(every).alias("n"),
     )
     npos, nneg = F.max("np"), F.max("n") - F.max("np")
-    area = (F.sum(F.col("pos") * F.col("rank")) - npos * (npos + 1) / 2) / (npos * nneg)
-    ap = F.sum(F.col("pos") / F.col("np") * F.col("tp") / F.col("called"))
+    area = F.try_divide(F.sum(F.col("pos") * F.col("rank")) - npos * (npos + 1) / 2, npos * nneg)
+    ap = F.sum(F.try_divide("pos", "np") * F.col("tp") / F.col("called"))
     return w.groupBy("class").agg(npos.alias("support"), F.when((npos > 0) & (nneg > 0), area).alias("auroc"), F.when(npos > 0, ap).alias("auprc"))
 
 
@@ -165,7 +165,7 @@ def clustering_scores(counts: DataFrame) -> DataFrame:
     sb = b.join(F.broadcast(tot)).agg(F.sum(two(F.col("b"))).alias("sb"), F.sum(-F.col("b") / F.col("tot") * F.ln(F.col("b") / F.col("tot"))).alias("hb"))
     mi = counts.join(a, "truth").join(b, "pred").join(F.broadcast(tot)).agg(F.sum(n / F.col("tot") * F.ln(n * F.col("tot") / (F.col("a") * F.col("b")))).alias("mi"))
     one = tot.join(F.broadcast(sa)).join(F.broadcast(sb)).join(F.broadcast(mi))
-    want = F.col("sa") * F.col("sb") / two(F.col("tot"))
+    want = F.coalesce(F.try_divide(F.col("sa") * F.col("sb"), two(F.col("tot"))), F.lit(0.0))
     mean = (F.col("sa") + F.col("sb")) / 2
     ari = F.when(mean == want, F.lit(1.0)).otherwise((F.col("sij") - want) / (mean - want))
     h = (F.col("ha") + F.col("hb")) / 2

@@ -176,7 +176,7 @@ def initial_vectors(new: DataFrame, edges: DataFrame, old_vectors: DataFrame) ->
     old vectors without one. The random part of the original is left out."""
     old = old_vectors.select("node", "vec")
     sides = endpoints(edges, "w").join(small_side(new.select("node")), "node").join(old.select(F.col("node").alias("other"), "vec"), "other")
-    per = sides.select("node", "w", F.posexplode("vec").alias("pos", "x")).groupBy("node", "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum(F.abs("w"))).alias("m"))
+    per = sides.select("node", "w", F.posexplode("vec").alias("pos", "x")).groupBy("node", "pos").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum(F.abs("w"))).alias("m"))
     near = per.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda r: r["m"]).alias("near"))
     every = old.select(F.posexplode("vec").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda r: r["m"]).alias("all_"))
     return new.select("node").distinct().join(near, "node", "left").join(F.broadcast(every)).select("node", F.coalesce("near", "all_").alias("vec"))

@@ -400,7 +400,7 @@ def nm07(spark: SparkSession, d: str) -> DataFrame:
     long = embedding_long(spark, d)
     a = long.select("obs", F.col("feat").alias("src"), F.col("value").alias("x"))
     b = long.select("obs", F.col("feat").alias("dst"), F.col("value").alias("y"))
-    return a.join(b, "obs").where("src < dst").groupBy("src", "dst").agg(F.round(F.corr("x", "y"), 6).alias("r"))
+    return a.join(b, "obs").where("src < dst").groupBy("src", "dst").agg(F.round(S.pearson("x", "y"), 6).alias("r"))
 
 
 @REG.add("nm08_similar_pairs", _CORR + " SELECT src, dst FROM p WHERE abs(r) > 0.1")
