@@ -149,8 +149,10 @@ def word_fixes(vocabulary: DataFrame) -> DataFrame:
     of a corpus word which at least :data:`RATIO` times as many documents have.
     Of several originals the most frequent is taken, then the first."""
     clean = vocabulary.where((F.col("docs") >= SUPPORT) & ~F.col("word").rlike(_CONTROL) & ~F.contains("word", F.lit(_LOST)))
-    # a few hundred forms a word: spread the words before making them
-    forms = clean.repartition(F.col("word")).mapInPandas(_form_rows(True, 1), _FORMS)
+    # a few hundred forms a word: spread the words before making them, by a number
+    # of partitions, as adaptive execution would put so few bytes into one task
+    tasks = max(vocabulary.sparkSession.sparkContext.defaultParallelism, min(20_000, -(-vocabulary.count() // 5_000)))
+    forms = clean.repartition(tasks, "word").mapInPandas(_form_rows(True, 1), _FORMS)
     marks = forms.where((F.length("form") > 1) | F.col("form").rlike(_CONTROL))
     hits = marks.join(vocabulary.select(F.col("word").alias("form"), F.col("docs").alias("n_form")), "form").where(F.col("docs") >= RATIO * F.col("n_form"))
     one = F.row_number().over(Window.partitionBy("form").orderBy(F.desc("docs"), "word", "chain"))
