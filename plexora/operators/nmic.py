@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 from plexora.session import materialize
 
-#: Features of a block; a task compares two blocks.
+#: Features of a block, at most; a task compares two blocks.
 BLOCK = 32
+#: Pairs of blocks for each core, at least, where there are features enough.
+TASKS = 4
 
 
 def feature_vectors(long: DataFrame) -> DataFrame:
@@ -47,21 +50,41 @@ def bin_ids(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int] |
     return np.maximum(ids, 0), int(k)
 
 
-def _mi(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> float:
-    n = len(a[0])
-    joint = np.bincount(a[0] * b[1] + b[0], minlength=a[1] * b[1]).reshape(a[1], b[1]) / n
-    pa, pb = joint.sum(1), joint.sum(0)
-    i, j = np.nonzero(joint > 1e-7)
-    p = joint[i, j]
-    return float((p * np.log2(p / (pa[i] * pb[j]))).sum() / np.log2(np.sqrt(a[1] * float(b[1]))))
+def _entropy_terms(n: int) -> np.ndarray:
+    """``k log2 k`` of all counts up to ``n``."""
+    k = np.arange(n + 1, dtype=float)
+    k[1:] *= np.log2(k[1:])
+    return k
 
 
-def _first_parts(x: np.ndarray, order: np.ndarray, spans: Sequence[tuple[int, int]]) -> list:
+def _mi(a: tuple[np.ndarray, int], mass: float, b: tuple[np.ndarray, int], terms: np.ndarray) -> float:
+    """Normalised information of two binnings; ``mass`` is the sum of the terms
+    of the first one's counts. Cells of at most 1e-7 of the rows do not count,
+    which only ten million rows can bring about."""
+    n = len(a[0])
+    joint = np.bincount(a[0] * b[1] + b[0], minlength=a[1] * b[1])
+    if n < 10_000_000:
+        own = np.bincount(b[0], minlength=b[1])
+        info = (terms[joint].sum() - mass - terms[own].sum()) / n + np.log2(n)
+    else:
+        p = joint.reshape(a[1], b[1]) / n
+        pa, pb = p.sum(1), p.sum(0)
+        i, j = np.nonzero(p > 1e-7)
+        info = (p[i, j] * np.log2(p[i, j] / (pa[i] * pb[j]))).sum()
+    return float(info / np.log2(np.sqrt(a[1] * float(b[1]))))
+
+
+def _first_parts(x: np.ndarray, order: np.ndarray, spans: Sequence[tuple[int, int]], terms: np.ndarray) -> list:
+    """Binning and sum of terms of the first feature in every window and the whole."""
     s = x[order]
-    return [bin_ids(s[a:b], s[a:b]) for a, b in spans] + [bin_ids(s, s)]
+    out = []
+    for a, b in [*spans, (0, len(s))]:
+        got = bin_ids(s[a:b], s[a:b])
+        out.append(None if got is None else (got, float(terms[np.bincount(got[0])].sum())))
+    return out
 
 
-def nmic(y: np.ndarray, order: np.ndarray, parts: list, spans: Sequence[tuple[int, int]]) -> float:
+def nmic(y: np.ndarray, order: np.ndarray, parts: list, spans: Sequence[tuple[int, int]], terms: np.ndarray) -> float:
     """The highest information of a pair over the windows, ordered by the first
     feature, and the full range; unusable bins count as 0."""
     ys = y[order]
@@ -71,8 +94,9 @@ def nmic(y: np.ndarray, order: np.ndarray, parts: list, spans: Sequence[tuple[in
             best = max(best, 0.0)
             continue
         cut = ys[a:b]
-        second = bin_ids(cut, np.sort(cut))
-        best = max(best, 0.0 if second is None else _mi(first, second))
+        mid, upper = _places(len(cut))
+        second = bin_ids(cut, np.partition(cut, (0, mid, upper, len(cut) - 1)))
+        best = max(best, 0.0 if second is None else _mi(first[0], first[1], second, terms))
     return best
 
 
@@ -94,11 +118,18 @@ def similar(x: np.ndarray, y: np.ndarray, order: np.ndarray, spans: Sequence[tup
 
 
 def _blocked(vectors: DataFrame, count: int, block: int) -> DataFrame:
-    """Every vector once for each pair of blocks that its own block is part of."""
-    k = max(1, -(-count // block))
+    """Every vector once for each pair of blocks that its own block is part of.
+
+    There are enough blocks for all cores. The pairs are spread over a fixed
+    number of partitions: adaptive execution would join them by their bytes,
+    while it is the comparisons that take the time.
+    """
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    k = max(1, -(-count // block), min(count, math.isqrt(2 * TASKS * cores) + 1))
     own = F.pmod(F.xxhash64("feat"), F.lit(k)).cast("int")
     rows = vectors.select("feat", "vec", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("other"))
-    return rows.select("feat", "vec", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    out = rows.select("feat", "vec", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    return out.repartition(k * (k + 1) // 2, "bi", "bj")
 
 
 def _pair_task(spans: list[tuple[int, int]], mode: str, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -107,16 +138,17 @@ def _pair_task(spans: list[tuple[int, int]], mode: str, least: float) -> Callabl
         bi, bj = int(pdf["bi"][0]), int(pdf["bj"][0])
         names, own = list(pdf["feat"]), pdf["own"].to_numpy()
         x = [np.asarray(v, float) for v in pdf["vec"]]
+        terms = _entropy_terms(max(map(len, x), default=0))
         out = []
         for i in range(len(x)):
             todo = [j for j in range(i + 1, len(x)) if bi == bj or own[i] != own[j]]
             if not todo:
                 continue
             order = np.argsort(x[i], kind="stable")
-            parts = _first_parts(x[i], order, spans) if mode == "nmic" else None
+            parts = _first_parts(x[i], order, spans, terms) if mode == "nmic" else None
             for j in todo:
                 if mode == "nmic":
-                    out.append((names[i], names[j], nmic(x[j], order, parts, spans)))
+                    out.append((names[i], names[j], nmic(x[j], order, parts, spans, terms)))
                 elif similar(x[i], x[j], order, spans, least):
                     out.append((names[i], names[j], 1.0))
         return pd.DataFrame(out, columns=["src", "dst", "w"])

@@ -45,7 +45,8 @@ def guide_graph(
     similar = None
     if check_similar:
         kept, similar = nmic.without_redundant(kept, spans, pcc)
-    edges = materialize(nmic.above(nmic.all_pairs(kept, spans), mi, drop_last), "edges")
+    # a sort samples its input first: the pairs are written before it, or they would be measured twice
+    edges = materialize(nmic.above(materialize(nmic.all_pairs(kept, spans), "pairs"), mi, drop_last), "edges")
     ends = edges.selectExpr("src as feat").union(edges.selectExpr("dst as feat")).distinct()
     params = {"n_features": n_features, "cv": cv, "pcc": pcc, "mi": mi, "max_window": most, "min_window": least, "step_window": grow, "step_slide": slide}
     return GuideGraph(edges, kept.join(ends, "feat", "left_semi"), similar, params)

@@ -59,7 +59,8 @@ def test_bins_micro():
 
 def full(x, y):
     order = np.argsort(x, kind="stable")
-    return nmic.nmic(np.array(y, float), order, nmic._first_parts(np.array(x, float), order, []), [])
+    terms = nmic._entropy_terms(len(x))
+    return nmic.nmic(np.array(y, float), order, nmic._first_parts(np.array(x, float), order, [], terms), [], terms)
 
 
 def test_information_micro():
