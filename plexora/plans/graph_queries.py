@@ -226,7 +226,7 @@ SELECT CAST(least(n, o) AS BIGINT) AS u, CAST(greatest(n, o) AS BIGINT) AS v, ro
 def gr11(spark: SparkSession, d: str) -> DataFrame:
     """New features (part sizes above 40) without any link to the old ones."""
     part = table(spark, d, "part", "p_partkey", "p_size")
-    x = table(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_quantity").join(F.broadcast(part), F.expr("l_partkey = p_partkey"))
+    x = table(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_quantity").join(small_side(part), F.expr("l_partkey = p_partkey"))
     long = materialize(x.groupBy(F.col("l_suppkey").alias("obs"), F.col("p_size").cast("long").alias("feat")).agg(F.sum("l_quantity").cast("double").alias("value")), "long")
     voc = long.select(F.col("feat").alias("idx")).distinct().withColumn("old_or_new", F.when(F.col("idx") > 40, "new").otherwise("old"))
     none = spark.createDataFrame([], "u long, v long, w double")
@@ -372,13 +372,13 @@ e AS (SELECT a.obs, u, v FROM ob a JOIN ed ON ed.u = a.feat JOIN ob b ON b.obs =
 SELECT obs, feat FROM t UNION SELECT obs, u FROM e UNION SELECT obs, v FROM e""")
 def gr17(spark: SparkSession, d: str) -> DataFrame:
     long, edges, _ = _brand_graph(spark, d)
-    # names as negated numbers are not ordered; ranks of the names stand for them
+    # the fallback orders numbers, so ranks of the names stand for them
     ids = long.select("feat").distinct()
     ids = materialize(reshape.numbered(ids, ["feat"], "k"), "ids")
-    coded = long.join(F.broadcast(ids), "feat").select("obs", F.col("k").alias("feat"), "value")
+    coded = long.join(small_side(ids), "feat").select("obs", F.col("k").alias("feat"), "value")
     pairs = E.mapped(edges, ids.select(F.col("feat").alias("old"), F.col("k").alias("new")))
     out = samples.seed_fallback(coded, pairs, 1)
-    return out.join(F.broadcast(ids.withColumnRenamed("feat", "name")), F.col("feat") == F.col("k")).select("obs", F.col("name").alias("feat"))
+    return out.join(small_side(ids.withColumnRenamed("feat", "name")), F.col("feat") == F.col("k")).select("obs", F.col("name").alias("feat"))
 
 
 @REG.add("io19_sample_rows", _SAMPLE + "SELECT obs, count(*) AS n_nodes, coalesce((SELECT count(*) FROM ie WHERE ie.obs = nd.obs), 0) AS n_edges FROM nd GROUP BY obs")
@@ -483,7 +483,7 @@ dl AS (SELECT p.u, p.v, p.w AS w_pre, f.w AS w_ft, round(f.w - p.w, 8) AS delta_
 def _brand_states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """``(edges, vectors)``: brands sold in one order, and ``(node, st, vec)``."""
     brand = F.substring("p_brand", 7, 10).cast("long").alias("node")
-    part = F.broadcast(table(spark, d, "part", "p_partkey", "p_brand").select("p_partkey", brand))
+    part = small_side(table(spark, d, "part", "p_partkey", "p_brand").select("p_partkey", brand))
     li = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity").join(part, F.expr("l_partkey = p_partkey"))
     sup = small_side(table(spark, d, "supplier", "s_suppkey", "s_nationkey"))
     st = F.when(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp"), "pre").otherwise("ft").alias("st")
@@ -544,7 +544,7 @@ def gr24(spark: SparkSession, d: str) -> DataFrame:
     return _r(t, 5, "embedding_norm_pre", "embedding_norm_ft", "embedding_norm_delta")
 
 
-# modules stand in as the feature index modulo 12, sizes uneven by nature of the edges
+# modules by the last digit of the feature index, of uneven size
 _MODULES = f"""{NMIC_EDGES}, md0 AS (SELECT node, CASE WHEN node % 10 < 5 THEN 0 WHEN node % 10 < 8 THEN 1 ELSE node % 10 END AS module FROM (SELECT u AS node FROM nm UNION SELECT v FROM nm)),
 sz AS (SELECT module, count(*) AS n FROM md0 GROUP BY ALL), rk AS (SELECT *, row_number() OVER (ORDER BY n DESC, module) AS r FROM sz),
 md AS (SELECT node, printf('M%02d', CASE WHEN n >= {{least}} THEN r ELSE 1 END) AS module_id FROM md0 JOIN rk USING (module)),

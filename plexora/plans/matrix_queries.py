@@ -10,7 +10,7 @@ from plexora.operators import nmic, reshape, stats
 from plexora.operators.windows import ratio_windows, windows
 from plexora.plans.inputs import EMB, EXPRESSION, ORDER_BRAND, SUPPLIER_BRAND, embedding_long, expression_long, order_brand, supplier_brand
 from plexora.plans.registry import Registry
-from plexora.session import table
+from plexora.session import small_side, table
 
 REG = Registry()
 
@@ -175,7 +175,7 @@ SELECT n_name, CASE WHEN contains(t, '--') THEN CASE WHEN len(string_split(t, '-
   WHEN contains(t, ':') THEN CASE WHEN len(string_split(t, ':')) = 2 THEN list_transform(string_split(t, ':'), lambda x: trim(x)) END END AS pair
 FROM (SELECT n_name, n_name || CASE n_nationkey % 4 WHEN 0 THEN ' -- ' WHEN 1 THEN ', ' WHEN 2 THEN ':' ELSE ' ' END || r_name AS t FROM nation JOIN region ON n_regionkey = r_regionkey)""")
 def pr16(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.expr("n_regionkey = r_regionkey"))
+    n = table(spark, d, "nation").join(small_side(table(spark, d, "region")), F.expr("n_regionkey = r_regionkey"))
     sep = F.expr("CASE n_nationkey % 4 WHEN 0 THEN ' -- ' WHEN 1 THEN ', ' WHEN 2 THEN ':' ELSE ' ' END")
     return n.select("n_name", S.pair_of(F.concat("n_name", sep, "r_name")).alias("pair"))
 

@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast once it has been counted.
+#: Rows and bytes up to which a side may be broadcast once it has been counted.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -83,9 +84,17 @@ def release_scratch() -> None:
 atexit.register(release_scratch)
 
 
+def _row_bytes(df: DataFrame) -> int:
+    """A row's width by its types; an array counts as 64 values."""
+    width = {"string": 48, "binary": 64}
+    return 16 + sum(640 if k.startswith(("array", "map", "struct")) else width.get(k, 8) for _, k in df.dtypes)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows. The count
-    stops at ``rows + 1``. A larger side is returned unmarked: the join is then
-    shuffled, and adaptive execution splits skewed partitions."""
+    """``df`` marked for broadcast if it has at most ``rows`` rows and, by their
+    width, :data:`BROADCAST_BYTES`. The count stops one row beyond. A larger side
+    is returned unmarked: the join is then shuffled, and adaptive execution
+    splits skewed partitions."""
+    rows = min(rows, BROADCAST_BYTES // _row_bytes(df))
     n = df.limit(rows + 1).count()
     return F.broadcast(df) if n <= rows else df

@@ -449,3 +449,18 @@ def test_learned_heads(spark):
     feats = df.select(array_to_vector("vec").alias("features"), "label")
     for fitted in (model.label_predictor(df, "vec", "label", (4,)), model.search(df, "vec", "label", [0.0, 0.1], 2)):
         assert fitted.transform(feats).where("prediction = label").count() >= 76
+
+
+def test_config():
+    from plexora.plans.config import merged, shown
+
+    assert merged({"a": {"b": 1, "c": 2}, "d": 1}, {"a": {"b": 3}, "d": {"e": 1}}) == {"a": {"b": 3, "c": 2}, "d": {"e": 1}}
+    assert shown("JSD", 0.25) == ("1 - JSD", 0.75) and shown("f1", 0.5) == ("f1", 0.5)
+
+
+def test_small_side_stops_at_its_bound(spark):
+    from plexora.session import small_side
+
+    plan = lambda df: df._jdf.queryExecution().toString()
+    a = spark.range(100)
+    assert "broadcast" in plan(small_side(a, 100)) and "broadcast" not in plan(small_side(a, 99))
