@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plexora.functions.scalar import edge_class, finite, pearson
+from plexora.operators.running import running
 from plexora.session import small_side
 
 #: The fixed form of a fused edge table.
@@ -117,7 +118,7 @@ def expand_vocabulary(old: DataFrame, names: DataFrame, name: str = "name", inde
     if not check["n"] == check["m"] == check["d"]:
         raise ValueError("the old vocabulary is not numbered 0..n-1")
     fresh = names.select(F.col(name).alias("name")).where("name is not null").distinct().join(old.select(F.col(name).alias("name")), "name", "left_anti")
-    numbered = fresh.select("name", (F.row_number().over(Window.orderBy("name")) - 1 + check["n"]).cast("long").alias("idx"), F.lit("new").alias("old_or_new"))
+    numbered = running(fresh.withColumn("one_", F.lit(1).cast("long")), [], ["name"], {"r_": (F.sum, "one_")}).select("name", (F.col("r_") + check["n"]).cast("long").alias("idx"), F.lit("new").alias("old_or_new"))
     return old.select(F.col(name).alias("name"), F.col(index).cast("long").alias("idx"), F.lit("old").alias("old_or_new")).union(numbered)
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexora.operators.running import running
+from plexora.session import materialize
+
 
 def parse(df: DataFrame, peak: str = "peak") -> DataFrame:
     """``(chr, start, end, peak)`` of texts ``chr:start-end``; other texts are dropped."""
@@ -20,20 +23,21 @@ def parse(df: DataFrame, peak: str = "peak") -> DataFrame:
 
 def merge(ivs: DataFrame) -> DataFrame:
     """``(chr, start, end)``: intervals joined while one starts strictly before
-    the running end; touching ones stay apart. One sort per chromosome; a
-    chromosome is the unit of order, as for any sweep."""
-    by = Window.partitionBy("chr").orderBy("start", "end")
-    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(before.isNull() | (F.col("start") >= before), 1).otherwise(0)
-    island = ivs.select("chr", "start", "end").withColumn("f_", fresh).withColumn("i_", F.sum("f_").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    the running end; touching ones stay apart. The sweep runs over range
+    partitions, so a chromosome with most intervals is many tasks. Intervals
+    with a null part are dropped."""
+    rows = ivs.select("chr", "start", "end").dropna()
+    seen = materialize(running(rows, ["chr"], ["start", "end"], {"before": (F.max, "end")}), "swept")
+    flagged = seen.withColumn("f_", F.when(F.col("before").isNull() | (F.col("start") >= F.col("before")), 1).otherwise(0).cast("long"))
+    island = running(flagged, ["chr"], ["start", "end", F.desc("f_")], {"i_": (F.sum, "f_")}, inclusive=True)
     return island.groupBy("chr", "i_").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("i_")
 
 
 def has_overlap(ivs: DataFrame) -> DataFrame:
-    """One row ``(overlapping)``: whether neighbours in order of start overlap strictly."""
-    prev = F.lag("end").over(Window.partitionBy("chr").orderBy("start", "end"))
-    hit = ivs.select((F.col("start") < prev).alias("h"))
-    return hit.agg(F.coalesce(F.bool_or("h"), F.lit(False)).alias("overlapping"))
+    """One row ``(overlapping)``: whether neighbours in order of start overlap
+    strictly. That is so exactly if some interval starts before the running end."""
+    seen = running(ivs.select("chr", "start", "end").dropna(), ["chr"], ["start", "end"], {"before": (F.max, "end")})
+    return seen.agg(F.coalesce(F.bool_or(F.col("start") < F.col("before")), F.lit(False)).alias("overlapping"))
 
 
 def align(query: DataFrame, ref: DataFrame, width: int = 1 << 14) -> DataFrame:

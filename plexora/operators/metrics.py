@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexora.functions.scalar import finite, pearson
+from plexora.operators.running import running
+from plexora.session import small_side
 
 
 def with_rank(df: DataFrame, value: str, group: list[str], out: str) -> DataFrame:
@@ -70,13 +72,12 @@ def regression_scores(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 
 def spearman_global(ok: DataFrame) -> DataFrame:
-    """One row: Spearman over all rows. Ranks come from counts of distinct values,
-    combined before the one ordered pass over distinct values."""
+    """One row: Spearman over all rows. Ranks come from running counts of the
+    distinct values, over range partitions."""
     ranks = {}
     for c in ("t", "p"):
         n = ok.groupBy(c).agg(F.count(F.lit(1)).alias("k"))
-        before = F.coalesce(F.sum("k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks[c] = n.select(c, (before + (F.col("k") - 1) / 2).alias(f"r{c}"))
+        ranks[c] = running(n, [], [c], {"before": (F.sum, "k")}).select(c, (F.col("before") + (F.col("k") - 1) / 2).alias(f"r{c}"))
     return ok.join(ranks["t"], "t").join(ranks["p"], "p").agg(guarded_corr("rt", "rp").alias("spearman"))
 
 
@@ -130,16 +131,13 @@ def auroc(probs: DataFrame, truth: DataFrame) -> DataFrame:
     positives or negatives. Scores are first counted per distinct value."""
     rows = probs.join(truth, "obs").select("class", "prob", (F.col("class") == F.col("truth")).cast("int").alias("y"))
     n = rows.groupBy("class", "prob").agg(F.count(F.lit(1)).alias("k"), F.sum("y").alias("pos"))
-    up = Window.partitionBy("class").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("class").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy("class")
-    w = n.select(
-        "class", "pos", "k",
-        (F.coalesce(F.sum("k").over(up), F.lit(0)) + (F.col("k") + 1) / 2).alias("rank"),
-        F.sum("pos").over(down).alias("tp"),
-        F.sum("k").over(down).alias("called"),
-        F.sum("pos").over(every).alias("np"),
-        F.sum("k").over(every).alias("n"),
+    seen = running(n, ["class"], ["prob"], {"k_before": (F.sum, "k"), "pos_before": (F.sum, "pos")})
+    sums = n.groupBy("class").agg(F.sum("pos").alias("np"), F.sum("k").alias("n"))
+    w = seen.join(small_side(sums), "class").select(
+        "class", "pos", "np", "n",
+        (F.col("k_before") + (F.col("k") + 1) / 2).alias("rank"),
+        (F.col("np") - F.col("pos_before")).alias("tp"),
+        (F.col("n") - F.col("k_before")).alias("called"),
     )
     npos, nneg = F.max("np"), F.max("n") - F.max("np")
     area = F.try_divide(F.sum(F.col("pos") * F.col("rank")) - npos * (npos + 1) / 2, npos * nneg)

@@ -110,18 +110,10 @@ def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: Sequence[str], out: str = "row") -> DataFrame:
-    """Row numbers from 0 in a total order, by range partitioning: each partition
-    numbers its own rows after the counts of those before it."""
-    from plexora.session import materialize
-
-    cols = df.columns
-    tag = F.spark_partition_id()
-    sorted_ = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("p_", tag).withColumn("q_", F.monotonically_increasing_id()), "numbered")
-    counts = sorted_.groupBy("p_").agg(F.count(F.lit(1)).alias("c_"))
-    offset = F.coalesce(F.sum("c_").over(Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = counts.select("p_", offset.alias("o_"))
-    local = F.row_number().over(Window.partitionBy("p_").orderBy("q_")) - 1
-    return sorted_.withColumn("l_", local).join(F.broadcast(base), "p_").select(*cols, (F.col("l_") + F.col("o_")).alias(out))
+    """Row numbers from 0 in a total order, spread over range partitions."""
+    from plexora.operators.running import running
+
+    return running(df.withColumn("one_", F.lit(1).cast("long")), [], order, {out: (F.sum, "one_")}).drop("one_")
 
 
 def stacked(dfs: Sequence[DataFrame], diagonal: bool = False) -> DataFrame:

@@ -39,8 +39,7 @@ def active_subgraphs(long: DataFrame, edges: DataFrame, cv: DataFrame, threshold
         .join(here.withColumnRenamed("feat", "v"), ["obs", "v"])
         .select("obs", F.explode(F.array("u", "v")).alias("feat"))
     )
-    rank = F.row_number().over(Window.orderBy(F.desc("cv"), "feat"))
-    top = cv.withColumn("r_", rank).where(F.col("r_") <= n_top).select("feat")
+    top = cv.orderBy(F.desc("cv"), "feat").limit(n_top).select("feat")
     chosen = both.union(here.join(small_side(top), "feat").select("obs", "feat")).distinct().withColumn("in_", F.lit(1))
     ranked = live.join(chosen, ["obs", "feat"], "left").join(small_side(cv.select("feat", "cv")), "feat", "left")
     by = Window.partitionBy("obs")
