@@ -96,6 +96,22 @@ def from_one_hot(onehot: DataFrame, obs: str = "obs", prefix: str = "ct_") -> Da
     return rows.select(F.col(obs).alias("obs"), F.replace("label", F.lit(prefix), F.lit("")).alias("label"))
 
 
+def sample_features(long: DataFrame, k: int, seed: int) -> DataFrame:
+    """The rows of ``k`` features drawn without replacement, by the order of
+    ``md5(seed:feature)``; all of them where there are fewer."""
+    from plexora.operators.sampling import hash_order
+
+    names = long.select("feat").distinct().orderBy(hash_order("feat", seed), "feat").limit(k)
+    return long.join(F.broadcast(names) if k <= 10_000 else names, "feat", "left_semi")
+
+
+def densified(sparse: DataFrame, features: DataFrame) -> DataFrame:
+    """``(obs, feat, value)`` of sparse rows ``(obs, indices, values)``: the stored
+    cells with the names ``(idx, feat)``, zeros elsewhere."""
+    cells = sparse.select("obs", F.explode(F.arrays_zip("indices", "values")).alias("c")).select("obs", F.col("c.indices").alias("idx"), F.col("c.values").cast("double").alias("value"))
+    return aligned(cells.join(features, "idx").select("obs", "feat", "value"), features)
+
+
 def unique_names(df: DataFrame, name: str, order: str, out: str = "unique_name") -> DataFrame:
     """Repeated names made unique by ``_1``, ``_2``... in order of ``order``; the
     first keeps its name."""

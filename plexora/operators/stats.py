@@ -195,3 +195,17 @@ def standardized(df: DataFrame, value: str, train: Column, out: str) -> DataFram
     fit = df.where(train & finite(value)).agg(F.avg(value).alias("m_"), F.stddev_pop(value).alias("s_"))
     scale = F.when(F.col("s_") < 1e-8, F.lit(1.0)).otherwise(F.greatest("s_", F.lit(1e-8)))
     return df.join(F.broadcast(fit)).withColumn(out, (F.col(value) - F.col("m_")) / scale).drop("m_", "s_")
+
+
+def upper_bins(long: DataFrame) -> DataFrame:
+    """``(feat, n, lo, hi, width, n_bins)``: the binning rule of the information
+    measure over a feature's whole range. The width is twice the distance from
+    the median to the upper quartile (as order statistics) over the cube root of
+    the count; ``n_bins`` is null where it is below 3 or above the count."""
+    by = Window.partitionBy("feat")
+    r = long.where(finite("value")).withColumn("r_", F.row_number().over(by.orderBy("value", "obs"))).withColumn("n_", F.count(F.lit(1)).over(by))
+    at = lambda q: F.max(F.when(F.col("r_") == F.floor(F.col("n_") * F.lit(q) + 0.5), F.col("value")))
+    s = r.groupBy("feat").agg(F.max("n_").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), (at(0.75) - at(0.5)).alias("d"))
+    s = s.withColumn("width", 2 * F.col("d") / F.cbrt(F.col("n").cast("double")))
+    k = F.ceil(F.try_divide(F.col("hi") - F.col("lo"), F.col("width")))
+    return s.select("feat", "n", "lo", "hi", "width", F.when(k.between(3, F.col("n")), k).cast("int").alias("n_bins"))

@@ -21,7 +21,8 @@ def event_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours
     """``(start, event_type, n, total)`` per tumbling window of event time; rows
     later than the watermark are dropped, so state stays bounded."""
     w = F.window("ts", width)
-    g = events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    g = timed.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
@@ -50,3 +51,14 @@ def upsert_to_end(stream: DataFrame, sink, checkpoint: str) -> None:  # noqa: AN
     (a function of a batch and its number), then stop."""
     q = stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def complete_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process everything available; the last state of an aggregation stands in
+    the folder ``path`` afterwards."""
+
+    def sink(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()

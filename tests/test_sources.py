@@ -137,3 +137,17 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("o", [1, 2, 9])], "obs string, feats array<long>").write.parquet(obs)
     updates.run_to_end(updates.induced_edges(updates.read_table(spark, obs), spark.read.parquet(edges)), str(tmp_path / "out3"), str(tmp_path / "ck3"))
     assert rows(spark.read.parquet(str(tmp_path / "out3"))) == [("o", 1, 2, 0.5)]
+
+
+def test_command_line(spark, tmp_path):
+    from plexora.cli import main, parser
+
+    a = parser().parse_args(["guide-graph", "-i", "x", "-o", "y"])
+    assert (a.nfeat, a.cv, a.pcc, a.mi, a.maxwin, a.minwin, a.stepwin, a.stepslide, a.chksim) == (5000, 0.1, 0.95, 0.05, 0.98, 0.33, 0.07, 0.07, False)
+    rng = np.random.RandomState(5)
+    m = rng.gamma(2, 2, (40, 4))
+    df = spark.createDataFrame([(f"o{i}", *map(float, r)) for i, r in enumerate(m)], ["obs_names", "a", "b", "c", "d"])
+    df.write.parquet(str(tmp_path / "x.parquet"))
+    out = main(["guide-graph", "-i", str(tmp_path / "x.parquet"), "-o", str(tmp_path / "g"), "--mi", "0.0"])
+    edges, matrix, params = graphs.read_guide_graph(spark, out)
+    assert {(r["src"], r["dst"]) for r in edges.collect()} <= {(x, y) for x in "abcd" for y in "abcd" if x < y} and params["mi"] == 0.0
