@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plexora.operators.running import running
 from plexora.session import materialize, small_side
 
 #: Rank error of the first sketch, as a share of a source's rows.
@@ -76,13 +77,13 @@ def cutoffs(df: DataFrame, targets: DataFrame, source: str, score: str, t_source
     row. ``n_tied`` counts the rows at the cutoff itself.
 
     Passes: (1) a mergeable rank-bounded quantile sketch per source brackets
-    the cutoff within half a percent of the rows; (2) a second sketch over the
-    rows inside the bracket narrows it by another factor of about two hundred;
-    (3) one exact pass counts the rows above the bracket and, value by value,
-    those inside it; (4) a last one counts the rows kept and tied. All aggregate on the map side, so a source with a
-    third of all rows costs its reducer one state a map task; the running
-    count of the last step sees only distinct scores in the narrow bracket
-    (at most 2.5e-5 of a source's distinct scores and ties collapse to one).
+    the cutoff within about a hundredth of its rows; (2) a second sketch over the
+    rows inside the bracket narrows that to about a ten-thousandth; (3) one exact
+    pass counts the rows above the bracket and, value by value, those inside it;
+    (4) a last one counts the rows kept and tied. All aggregate on the map side,
+    so a source with a third of all rows costs its reducer one state a map task;
+    the running count in step 3 sees each distinct score of the narrow bracket
+    once and is spread over range partitions.
     """
     goals = fractions(targets, t_source, t_fraction)
     rows = usable_scores(df, source, score).select("source_", "score_")
@@ -115,10 +116,10 @@ def cutoffs(df: DataFrame, targets: DataFrame, source: str, score: str, t_source
         .groupBy("source_", "v_")
         .agg(F.count(F.lit(1)).alias("k_"), F.min("score_").alias("low_"))
     )
-    w = Window.partitionBy("source_").orderBy(F.col("v_").desc_nulls_first())
     totals = first.select("source_", F.col("n_").alias("n_usable"))
     chosen = materialize(
-        exact.withColumn("cum_", F.sum("k_").over(w))
+        # in falling order of the scores; the bin above the bracket comes first
+        running(exact.select("source_", "low_", "k_"), ["source_"], [F.desc("low_")], {"cum_": (F.sum, "k_")}, inclusive=True)
         .join(small_side(goals.join(totals, "source_")), "source_")
         .where(F.col("cum_") <= F.col("fraction_") * F.col("n_usable"))
         .groupBy("source_")

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from plexora.session import materialize, small_side
 
 #: Vectors the index is fitted on, at most; every vector is indexed.
-SAMPLE = 32_768
+SAMPLE = 131_072
+#: Rows of the sample that the codebooks of the residuals are fitted on, at most.
+CODEBOOK_SAMPLE = 32_768
 #: Coarse centroids, at most (4,096 x 64 floats are one megabyte).
 MAX_LISTS = 4_096
 #: Members and queries that one task compares at once.
@@ -88,7 +90,8 @@ def _stack(col: pd.Series, dim: int) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, n: int, dim: int, probes: int, rerank: int, seed: int = 11) -> Index:
-    """Fit the index on a hashed sample of at most :data:`SAMPLE` vectors."""
+    """Fit the index on a hashed sample of at most :data:`SAMPLE` vectors, as many
+    as the driver holds in 32 megabytes."""
     keep = min(1.0, SAMPLE / max(n, 1))
     cut = int(keep * 0.95 * (1 << 30)) if keep < 1 else 1 << 30
     part = vectors.where(F.pmod(F.xxhash64("id_", F.lit(seed)), F.lit(1 << 30)) < cut).select("id_", "vec_").limit(SAMPLE)
@@ -98,6 +101,7 @@ def fit(vectors: DataFrame, n: int, dim: int, probes: int, rerank: int, seed: in
     # about half the square root of the rows
     lists = int(np.clip(2 ** round(np.log2(max(np.sqrt(n) / 2, 1))), 1, min(MAX_LISTS, max(1, len(x) // 24))))
     coarse = kmeans(x, lists, 12, rng)
+    x = x[rng.permutation(len(x))[:CODEBOOK_SAMPLE]]
     rest = x - coarse[nearest(x, coarse, 1)[:, 0]]
     sub = dim // _SUBSPACES
     books = np.zeros((_SUBSPACES, _CODES, sub), np.float32)

@@ -16,7 +16,7 @@ from plexora.session import materialize, small_side
 PLACEHOLDERS = ("", "na", "unknown")
 #: Components that one task anneals together.
 BLOCK = 20_000
-#: Label values that are balanced one by one; others are hashed into as many bins.
+#: Label values that are balanced one by one; all others share one measure.
 LABELS = 48
 
 
