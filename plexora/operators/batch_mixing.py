@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexora.functions.scalar import norm
+from plexora.operators.pairwise import nearest_rows
+from plexora.session import small_side
 
 
 def chi2_tail(x: float, k: int) -> float:
@@ -44,13 +45,10 @@ def neighbourhood_chi2(points: DataFrame, k: int, alpha: float = 0.05) -> DataFr
     the batches among its ``k`` nearest rows are tested against the overall
     shares; ``acceptance`` is the share of rows not rejected at ``alpha``.
 
-    The neighbours are exact, every row of a bounded evaluation set against all.
+    The neighbours are exact, found block by block.
     """
-    a = points.select(F.col("node").alias("u"), F.col("vec").alias("x"))
-    b = points.select(F.col("node").alias("v"), F.col("batch"), F.col("vec").alias("y"))
-    d = norm(F.zip_with("x", "y", lambda p, q: p.cast("double") - q.cast("double")))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
-    near = a.join(b, F.col("u") != F.col("v")).select("u", "v", "batch", d.alias("d")).withColumn("r", rank).where(F.col("r") <= k)
+    label = points.select(F.col("node").alias("v"), "batch")
+    near = nearest_rows(points, k).join(small_side(label), "v")
     seen = near.groupBy("u", "batch").agg(F.count(F.lit(1)).alias("o"))
     total = points.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     share = {r["batch"]: r["c"] / total for r in points.groupBy("batch").agg(F.count(F.lit(1)).alias("c")).limit(10_000).collect()}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexora.functions.scalar import finite, pearson
+from plexora.operators.pairwise import label_distances
 from plexora.operators.running import running
 from plexora.session import small_side
 
@@ -202,19 +203,16 @@ def silhouette(points: DataFrame) -> DataFrame:
     """``(silhouette, silhouette_label)``: the mean silhouette width of rows
     ``(obs, label, vec)`` and its rescaling to 0..1, by Euclidean distance.
 
-    Every row is compared with every other, the definition of the measure: use
-    it on embeddings of a bounded evaluation set. Labels with one member score 0.
+    Every row is compared with every other, the definition of the measure, in
+    blocks of which only sums per label leave a task. Labels with one member
+    score 0; rows with a null part take no part.
     """
-    from plexora.functions.scalar import norm
-
-    a = points.select(F.col("obs").alias("i"), F.col("label").alias("li"), F.col("vec").alias("x"))
-    b = points.select(F.col("obs").alias("j"), F.col("label").alias("lj"), F.col("vec").alias("y"))
-    dist = norm(F.zip_with("x", "y", lambda p, q: p.cast("double") - q.cast("double")))
-    # a stated evaluation set against all of its rows, block by block of the label
-    per = a.join(b, F.col("i") != F.col("j")).groupBy("i", "li", "lj").agg(F.avg(dist).alias("d"))
+    per = label_distances(points)
     own = F.max(F.when(F.col("li") == F.col("lj"), F.col("d")))
     other = F.min(F.when(F.col("li") != F.col("lj"), F.col("d")))
-    s = per.groupBy("i").agg(own.alias("a"), other.alias("b")).select(F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
+    s = per.groupBy("i").agg(own.alias("a"), other.alias("b"))
+    wide = F.greatest("a", "b")
+    s = s.select(F.when(F.col("a").isNull() | F.col("b").isNull() | (wide == 0), F.lit(0.0)).otherwise(F.try_divide(F.col("b") - F.col("a"), wide)).alias("s"))
     return s.agg(F.avg("s").alias("silhouette")).select("silhouette", ((F.col("silhouette") + 1) / 2).alias("silhouette_label"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plexora.functions.scalar import cosine, delta_sign, norm
 from plexora.operators.edges import endpoints
+from plexora.operators.pairwise import nearest_rows
 from plexora.session import materialize, small_side
 
 
@@ -192,12 +193,6 @@ def with_isolated(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def knn_graph(points: DataFrame, k: int) -> DataFrame:
     """``(u, v, w)``: each row ``(node, vec)`` linked with its ``k`` nearest by
     Euclidean distance (the smaller node first among equals), made symmetric:
-    the weight 1 or 2 counts the directions. Exact: every stated row is compared
-    with all rows."""
-    a = points.select(F.col("node").alias("u"), F.col("vec").alias("x"))
-    b = points.select(F.col("node").alias("v"), F.col("vec").alias("y"))
-    d = norm(F.zip_with("x", "y", lambda p, q: p.cast("double") - q.cast("double")))
-    pairs = a.join(b, F.col("u") != F.col("v")).select("u", "v", d.alias("d"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
-    near = pairs.withColumn("r", rank).where(F.col("r") <= k)
+    the weight 1 or 2 counts the directions. Exact, block by block."""
+    near = nearest_rows(points, k)
     return near.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count(F.lit(1)).alias("w"))

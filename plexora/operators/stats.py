@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexora.functions.scalar import finite
+from plexora.operators.running import running
 from plexora.session import small_side
 
 QUANTILES = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
@@ -165,6 +166,43 @@ def class_weights(onehot: DataFrame, columns: Sequence[str]) -> DataFrame:
     return inv.select("class", "n", (F.col("inv") / F.sum("inv").over(every)).alias("weight"))
 
 
+def linear_quantile(df: DataFrame, value: str, q: float, rank_error: float = 1e-4) -> float | None:
+    """The exact ``q``-quantile with linear interpolation of the finite values,
+    null of none.
+
+    A mergeable sketch brackets it, one pass counts the values below the bracket
+    and the distinct values inside, whose running counts over range partitions
+    give the two order statistics. Unlike an exact percentile aggregate, no task
+    holds all distinct values.
+    """
+    if not 0 <= q <= 1:
+        raise ValueError("a quantile lies in [0, 1]")
+    v = df.where(finite(value)).select(F.col(value).cast("double").alias("v"))
+    got = v.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not got["n"]:
+        return None
+    pad = 2 * rank_error + 2 / got["n"]  # sketches count ranks from one, quantiles between ranks
+    edges = [max(0.0, q - pad), min(1.0, q + pad)]
+    tails = v.agg(F.percentile_approx("v", edges, round(1 / rank_error)).alias("q")).first()["q"]
+    low = tails[0] if edges[0] > 0 else got["lo"]
+    high = tails[1] if edges[1] < 1 else got["hi"]
+    place = (got["n"] - 1) * q
+    at = int(place)
+    below = v.where(F.col("v") < low).count()
+    inside = v.where(F.col("v").between(low, high)).groupBy("v").agg(F.count(F.lit(1)).alias("k"))
+    seen = running(inside, [], ["v"], {"before": (F.sum, "k")}).withColumn("before", F.col("before") + below)
+    hit = seen.where((F.col("before") <= at + 1) & (F.col("before") + F.col("k") > at)).collect()
+    pick = lambda i: next((r["v"] for r in hit if r["before"] <= i < r["before"] + r["k"]), None)
+    first, second = pick(at), pick(at + 1)
+    if first is None:
+        raise ArithmeticError("the sketch did not bracket the quantile")
+    if place == at:
+        return first
+    if second is None:  # the next value lies beyond the bracket
+        second = v.where(F.col("v") > high).agg(F.min("v")).first()[0]
+    return first + (place - at) * (second - first)
+
+
 def quantile_filter(df: DataFrame, value: str, threshold: float | None = None, q: float | None = None, group: Sequence[str] = ()) -> DataFrame:
     """Rows with ``value`` at or above the threshold, or, without one, at or
     above its ``q``-quantile (linear) over all rows or each group; all rows
@@ -176,7 +214,7 @@ def quantile_filter(df: DataFrame, value: str, threshold: float | None = None, q
         return good.where(F.col(value) >= threshold)
     cut = F.percentile(F.col(value).cast("double"), q).alias("cut_")
     if not group:
-        return good.where(F.col(value) >= good.agg(cut).scalar())
+        return good.where(F.col(value) >= F.lit(linear_quantile(good, value, q)))
     return good.join(small_side(good.groupBy(*group).agg(cut)), list(group)).where(F.col(value) >= F.col("cut_")).drop("cut_")
 
 
@@ -185,7 +223,7 @@ def strongest_of(df: DataFrame, value: str, thresholds: Sequence[float | None],
     known = [t for t in thresholds if t is not None]
     good = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     if q is not None:
-        good = good.where(F.col(value) >= good.agg(F.percentile(F.col(value).cast("double"), q)).scalar())
+        good = good.where(F.col(value) >= F.lit(linear_quantile(good, value, q)))
     return good.where(F.col(value) >= max(known)) if known else good
 
 

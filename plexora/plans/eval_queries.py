@@ -461,7 +461,7 @@ def mt12(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.add("mt13_batch_mixing")
 def mt13(spark: SparkSession, d: str) -> DataFrame:
-    from plexora.operators.mixing_test import neighbourhood_chi2
+    from plexora.operators.batch_mixing import neighbourhood_chi2
 
     e = table(spark, d, "embeddings", "vec_id", "label", "embedding").toDF("node", "batch", "vec")
     return neighbourhood_chi2(e, 20)

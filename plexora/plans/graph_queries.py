@@ -51,7 +51,8 @@ def ag12(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.add("ag22_quantile_threshold", f"WITH {NMIC_EDGES} SELECT round(quantile_cont(w, 0.9), 9) AS cut FROM nm")
 def ag22(spark: SparkSession, d: str) -> DataFrame:
-    return nmic_edges(spark, d).agg(F.round(F.percentile("w", 0.9), 9).alias("cut"))
+    cut = stats.linear_quantile(materialize(nmic_edges(spark, d), "edges"), "w", 0.9)
+    return spark.createDataFrame([(cut,)], "cut double").select(F.round("cut", 9).alias("cut"))
 
 
 @REG.add("pr04_edge_threshold", f"WITH {NMIC_EDGES} SELECT * FROM nm WHERE w > 0.3")

@@ -12,7 +12,7 @@ from plexora.functions import scalar as S
 from plexora.operators import edges as E
 from plexora.operators import greedy, intervals, metrics, model, network, nmic, reshape, samples, sampling, stats
 from plexora.operators.components import min_labels
-from plexora.operators.mixing_test import chi2_tail
+from plexora.operators.batch_mixing import chi2_tail
 from plexora.operators.windows import ratio_windows, windows
 
 NAN = float("nan")
@@ -464,3 +464,34 @@ def test_small_side_stops_at_its_bound(spark):
     plan = lambda df: df._jdf.queryExecution().toString()
     a = spark.range(100)
     assert "broadcast" in plan(small_side(a, 100)) and "broadcast" not in plan(small_side(a, 99))
+
+
+@given(st.lists(st.one_of(st.floats(-5, 5), st.sampled_from([0.5, 1.0, NAN, None])), max_size=40), st.sampled_from([0.0, 0.1, 0.5, 0.9, 0.995, 1.0]))
+@settings(max_examples=8, deadline=None)
+def test_linear_quantile(spark, data, q):
+    df = spark.createDataFrame([(x,) for x in data], "x double")
+    good = [x for x in data if x is not None and x == x]
+    got = stats.linear_quantile(df, "x", q)
+    assert got is None if not good else math.isclose(got, float(np.quantile(good, q)), rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_linear_quantile_of_many(spark):
+    df = spark.range(200_001).selectExpr("cast(pmod(xxhash64(id), 100000) as double) as x")
+    x = [r[0] for r in df.collect()]
+    for q in (0.003, 0.5, 0.87654):
+        assert math.isclose(stats.linear_quantile(df, "x", q), float(np.quantile(x, q)), rel_tol=1e-12)
+
+
+def test_pairwise_blocks_agree(spark):
+    from plexora.operators import pairwise
+
+    rng = np.random.RandomState(9)
+    data = [(i, i % 3, [float(x) for x in rng.randint(0, 4, 3)]) for i in range(40)] + [(99, 1, None)]
+    p = spark.createDataFrame(data, "node long, label int, vec array<double>")
+    m = {i: np.array(v) for i, _, v in data if v}
+    want = sorted((i, j) for i in m for _, j in sorted((float(np.sqrt(((m[i] - m[j]) ** 2).sum())), j) for j in m if j != i)[:4])
+    for block in (1000, 7):
+        assert sorted((r["u"], r["v"]) for r in pairwise.nearest_rows(p, 4, block).collect()) == want
+    q = p.withColumnRenamed("node", "obs")
+    a, b = (rows(pairwise.label_distances(q, n).withColumn("d", F.round("d", 9))) for n in (1000, 7))
+    assert a == b and len(a) == 120
