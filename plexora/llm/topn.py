@@ -35,7 +35,7 @@ def _open(path: str):  # noqa: ANN202
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    where, name = fs.FileSystem.from_uri(path)
+    where, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     return pq.ParquetFile(where.open_input_file(name))
 
 
