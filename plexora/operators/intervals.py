@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexora.operators.running import running
-from plexora.session import materialize
+from plexora.operators.running import carried
 
 
 def parse(df: DataFrame, peak: str = "peak") -> DataFrame:
@@ -21,23 +20,30 @@ def parse(df: DataFrame, peak: str = "peak") -> DataFrame:
     return x.where("start is not null and end is not null")
 
 
-def merge(ivs: DataFrame) -> DataFrame:
+def _swept(ivs: DataFrame, width: int) -> DataFrame:
+    """Distinct intervals with the running end ``before`` of those before them; the
+    sweep is parted by bins of the start, so a chromosome is many tasks."""
+    rows = ivs.select("chr", "start", "end").dropna().distinct()
+    marked = rows.select("*", F.floor(F.col("start") / width).alias("p_"), F.struct("start", "end").alias("q_"))
+    return carried(marked, ["chr"], {"before": (F.max, "end")})
+
+
+def merge(ivs: DataFrame, width: int = 1 << 14) -> DataFrame:
     """``(chr, start, end)``: intervals joined while one starts strictly before
-    the running end; touching ones stay apart. The sweep runs over range
-    partitions, so a chromosome with most intervals is many tasks. Intervals
-    with a null part are dropped."""
-    rows = ivs.select("chr", "start", "end").dropna()
-    seen = materialize(running(rows, ["chr"], ["start", "end"], {"before": (F.max, "end")}), "swept")
-    flagged = seen.withColumn("f_", F.when(F.col("before").isNull() | (F.col("start") >= F.col("before")), 1).otherwise(0).cast("long"))
-    island = running(flagged, ["chr"], ["start", "end", F.desc("f_")], {"i_": (F.sum, "f_")}, inclusive=True)
+    the running end; touching ones stay apart. Repeated intervals count once,
+    intervals with a null part are dropped."""
+    fresh = F.when(F.col("before").isNull() | (F.col("start") >= F.col("before")), 1).otherwise(0).cast("long")
+    island = carried(_swept(ivs, width).withColumn("f_", fresh), ["chr"], {"i_": (F.sum, "f_")}, inclusive=True)
     return island.groupBy("chr", "i_").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("i_")
 
 
-def has_overlap(ivs: DataFrame) -> DataFrame:
+def has_overlap(ivs: DataFrame, width: int = 1 << 14) -> DataFrame:
     """One row ``(overlapping)``: whether neighbours in order of start overlap
-    strictly. That is so exactly if some interval starts before the running end."""
-    seen = running(ivs.select("chr", "start", "end").dropna(), ["chr"], ["start", "end"], {"before": (F.max, "end")})
-    return seen.agg(F.coalesce(F.bool_or(F.col("start") < F.col("before")), F.lit(False)).alias("overlapping"))
+    strictly, which is so exactly if some interval starts before the running end
+    of those before it. A repeated interval of some length overlaps itself."""
+    twice = ivs.select("chr", "start", "end").dropna().groupBy("chr", "start", "end").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and start < end")
+    hit = _swept(ivs, width).where(F.col("start") < F.col("before")).select("chr").union(twice.select("chr"))
+    return hit.agg((F.count(F.lit(1)) > 0).alias("overlapping"))
 
 
 def align(query: DataFrame, ref: DataFrame, width: int = 1 << 14) -> DataFrame:

@@ -268,6 +268,7 @@ def test_intervals_micro(spark):
 def test_interval_properties(spark, data):
     iv = spark.createDataFrame([(c, s, s + n) for c, s, n in data], "chr string, start long, end long")
     m = intervals.merge(iv)
+    assert rows(m, "chr", "start", "end") == rows(intervals.merge(iv, 16), "chr", "start", "end")
     assert not intervals.has_overlap(m).first()[0]
     ref = rows(m, "chr", "start", "end")
     got = rows(intervals.align(iv, m, 16), "chr", "start", "end", "ref_start", "ref_end")
