@@ -40,7 +40,8 @@ def tied_groups(df: DataFrame, key: str, batch: str, name: str, label: str) -> D
     has any batch, else ``l:<line>``; a row with neither forms its own group
     ``o:<key>``. Links are aggregated to distinct (batch, line) pairs first, so
     the components are found over labels and a hot batch is a single node.
-    Null names and batches tie nothing; repeated keys stay as rows.
+    Null names and batches tie nothing; repeated keys stay as rows, untied rows
+    of one key (or of none) are one group.
     """
     rows = df.select(
         F.col(key).alias("key_"),
@@ -55,7 +56,7 @@ def tied_groups(df: DataFrame, key: str, batch: str, name: str, label: str) -> D
         F.coalesce(F.concat_ws("|", node_b, node_l), F.lit("")).alias("pair_"),
         node_b.alias("nb_"),
         node_l.alias("nl_"),
-    ).withColumn("pair_", F.when(F.col("pair_") == "", F.concat(F.lit("o:"), F.col("key_").cast("string"))).otherwise(F.col("pair_")))
+    ).withColumn("pair_", F.when(F.col("pair_") == "", F.concat(F.lit("o:"), F.coalesce(F.col("key_").cast("string"), F.lit("")))).otherwise(F.col("pair_")))
     pairs = materialize(rows.groupBy("pair_", "nb_", "nl_").agg(F.count(F.lit(1)).alias("n_")), "pairs")
     links = pairs.where("nb_ is not null and nl_ is not null").select(F.col("nb_").alias("u"), F.col("nl_").alias("v"))
     labels = min_labels(links, "u", "v")
