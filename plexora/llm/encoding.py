@@ -17,9 +17,9 @@ CROSS = ("cp1252", "latin-1", "cp1250", "cp1251", "iso8859-2", "iso8859-5", "koi
 MULTI = ("cp932", "euc_jp", "gbk", "big5", "euc_kr")
 #: Characters that one wrongly decoded character can become, at most.
 LONGEST = 9
-#: How many times more documents must have a word than its garbled form.
+#: How many times more distinct texts must have a word than its garbled form.
 RATIO = 2
-#: Documents that must have a word for it to count as clean.
+#: Documents, copies included, that must have a word for it to count as clean.
 SUPPORT = 2
 
 # a run is tried from its first letter only: linear also over very long ASCII runs
@@ -135,38 +135,55 @@ _FORMS = "form string, word string, chain string, docs long"
 
 
 def corpus_words(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """``(words of documents, distinct words)``: ``(id_, word)`` once a document,
-    and ``(word, docs)``. A word is a run of letters with a non-ASCII character
-    in it; null and ASCII texts have none."""
+    """``(words of documents, distinct words)``: ``(id_, text_, word)`` once a
+    document with a hash of its text, and ``(word, docs, copies)``: the distinct
+    texts and the documents that have the word. However often a text is
+    delivered, it counts once in ``docs``. A word is a run of letters with a
+    non-ASCII character in it; null and ASCII texts have none."""
     at = df.select(F.col(key).cast("long").alias("id_"), resolved(F.col(text)).alias("t_"))
-    words = at.select("id_", F.explode(F.array_distinct(F.regexp_extract_all("t_", F.lit(_WORD), F.lit(0)))).alias("word"))
+    words = at.select("id_", F.xxhash64("t_").alias("text_"), F.explode(F.array_distinct(F.regexp_extract_all("t_", F.lit(_WORD), F.lit(0)))).alias("word"))
     words = materialize(words, "words")
-    return words, materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("docs")), "vocabulary")
+    per = words.groupBy("word", "text_").agg(F.count(F.lit(1)).alias("n_"))
+    return words, materialize(per.groupBy("word").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_").alias("copies")), "vocabulary")
 
 
-def word_fixes(vocabulary: DataFrame) -> DataFrame:
+def word_fixes(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(form, word, chain, docs, n_form)``: corpus words that are a garbled form
-    of a corpus word which at least :data:`RATIO` times as many documents have.
+    of a corpus word which at least :data:`RATIO` times as many distinct texts
+    have. Where texts tell neither that nor the reverse, and the original has no
+    fewer of them, documents with copies decide, unless the supposed original
+    stands only in texts that are garbled themselves.
     Of several originals the most frequent is taken, then the first."""
-    clean = vocabulary.where((F.col("docs") >= SUPPORT) & ~F.col("word").rlike(_CONTROL) & ~F.contains("word", F.lit(_LOST)))
+    clean = vocabulary.where((F.col("copies") >= SUPPORT) & ~F.col("word").rlike(_CONTROL) & ~F.contains("word", F.lit(_LOST)))
     # a few hundred forms a word: spread the words before making them, by a number
     # of partitions, as adaptive execution would put so few bytes into one task
     tasks = max(vocabulary.sparkSession.sparkContext.defaultParallelism, min(20_000, -(-vocabulary.count() // 5_000)))
-    forms = clean.repartition(tasks, "word").mapInPandas(_form_rows(True, 1), _FORMS)
+    forms = clean.select("word", "docs").repartition(tasks, "word").mapInPandas(_form_rows(True, 1), _FORMS)
     marks = forms.where((F.length("form") > 1) | F.col("form").rlike(_CONTROL))
-    hits = marks.join(vocabulary.select(F.col("word").alias("form"), F.col("docs").alias("n_form")), "form").where(F.col("docs") >= RATIO * F.col("n_form"))
+    hits = marks.join(vocabulary.select(F.col("word").alias("form"), F.col("docs").alias("n_form"), F.col("copies").alias("copies_form")), "form").where("docs >= n_form")
+    hits = materialize(hits.join(vocabulary.select("word", "copies"), "word"), "hits")
+    told = F.col("docs") >= RATIO * F.col("n_form")
+    firm, tied = hits.where(told), hits.where(~told & (F.col("copies") >= RATIO * F.col("copies_form")))
+    # texts with two firm forms of a chain are garbled: they vouch for no original
+    bad = words.join(small_side(firm.select(F.col("form").alias("word"), "chain").distinct()), "word").select("text_", "chain", "word").distinct()
+    bad = bad.groupBy("text_", "chain").agg(F.count(F.lit(1)).alias("n_")).where("n_ >= 2").select("text_").distinct()
+    spots = words.join(small_side(tied.select("word").distinct()), "word").select("word", "text_").distinct()
+    vouched = spots.join(bad, "text_", "left_anti").select("word").distinct()
+    hits = firm.unionByName(tied.join(vouched, "word", "left_semi")).select("form", "word", "chain", "docs", "n_form")
     one = F.row_number().over(Window.partitionBy("form").orderBy(F.desc("docs"), "word", "chain"))
     return hits.withColumn("r_", one).where("r_ = 1").drop("r_")
 
 
 def clean_characters(vocabulary: DataFrame, fixes: DataFrame) -> DataFrame:
-    """``(word, docs)``: non-ASCII characters that more documents have in words
-    that are no garbled form than in garbled ones."""
+    """``(word, docs)``: non-ASCII characters that more distinct texts, or more
+    documents with copies, have in words that are no garbled form than in garbled
+    ones."""
     bad = vocabulary.join(fixes.select(F.col("form").alias("word"), F.lit(1).alias("bad_")), "word", "left")
-    odd = F.col("bad_").isNotNull() | F.col("word").rlike(_CONTROL) | F.contains("word", F.lit(_LOST)) | (F.col("docs") < SUPPORT)
-    per = bad.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c"), F.when(odd, 0).otherwise(F.col("docs")).alias("good"), F.when(odd, F.col("docs")).otherwise(0).alias("poor"))
-    per = per.where(F.col("c").rlike(r"[^\x00-\x7F]")).groupBy("c").agg(F.sum("good").alias("good"), F.sum("poor").alias("poor"))
-    return per.where("good > poor").select(F.col("c").alias("word"), F.col("good").alias("docs"))
+    odd = F.col("bad_").isNotNull() | F.col("word").rlike(_CONTROL) | F.contains("word", F.lit(_LOST)) | (F.col("copies") < SUPPORT)
+    per = bad.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c"), odd.alias("odd_"), "docs", "copies").where(F.col("c").rlike(r"[^\x00-\x7F]"))
+    tally = [F.sum(F.when(F.col("odd_") == poor, F.col(n)).otherwise(0)).alias(f"{'poor' if poor else 'good'}_{n}") for n in ("docs", "copies") for poor in (False, True)]
+    per = per.groupBy("c").agg(*tally).where("good_docs > poor_docs or good_copies > poor_copies")
+    return per.select(F.col("c").alias("word"), F.col("good_docs").alias("docs"))
 
 
 def _grams(word: Column) -> Column:
@@ -246,7 +263,7 @@ def character_fixes(vocabulary: DataFrame, fixes: DataFrame) -> DataFrame:
     pairs = materialize(pairs, "matches")
     done = pairs.select("form", "chain", "pairs").mapInPandas(_repairs(), "form string, chain string, word string, hits int, whole boolean")
     done = done.join(pairs.select("form", "chain", "strange"), ["form", "chain"])
-    known = vocabulary.join(fixes.select(F.col("form").alias("word")), "word", "left_anti").where(F.col("docs") >= SUPPORT).select("word", F.lit(True).alias("known"))
+    known = vocabulary.join(fixes.select(F.col("form").alias("word")), "word", "left_anti").where(F.col("copies") >= SUPPORT).select("word", F.lit(True).alias("known"))
     done = done.join(known, "word", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     good = done.where("known or strange or hits >= 2 or whole")
     one = F.row_number().over(Window.partitionBy("form").orderBy(F.desc("known"), F.desc("whole"), F.desc("hits"), F.length("word"), "chain", "word"))
@@ -264,7 +281,7 @@ def garbled_words(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     equal another one's garbled form by chance.
     """
     words, vocabulary = corpus_words(df, key, text)
-    by_word = materialize(word_fixes(vocabulary), "word_fixes")
+    by_word = materialize(word_fixes(words, vocabulary), "word_fixes")
     by_char = character_fixes(vocabulary, by_word)
     sure = F.col("form").rlike(_CONTROL) | F.contains("form", F.lit(_LOST)) | F.startswith("chain", F.lit("utf-8")) | (F.length(F.regexp_replace("form", r"[\x00-\x7F]", "")) >= 3)
     fixes = by_word.select("form", "word", "chain", sure.alias("sure")).union(by_char.select("form", "word", "chain", F.lit(True)))

@@ -477,6 +477,19 @@ def test_encoding_part_of_a_word_and_long_texts(spark):
     assert set(out) == {50, 51} and out[50] == "l’été fini" and out[51].startswith("modérée x") and len(out[51]) == 200_008
 
 
+@pytest.mark.parametrize("chain", [("cp1251", "cp1252"), ("koi8-r", "cp1251"), ("cp1251", "mac-roman")])
+def test_encoding_copies_of_one_garbled_text(spark, chain):
+    # single-byte chains have the word match only; a third of the rows are one such text
+    clean = [(i, SENTENCES[i % 7] + f" {i}") for i in range(140)]
+    # an original with as many texts as its garbled form: copies must not turn the two round
+    clean.append((900, SENTENCES[3] + " Редкостный случай"))
+    hot = wrong(clean[-1][1], [chain])
+    df = spark.createDataFrame(clean + [(1000 + i, hot) for i in range(70)], "doc_id long, text string")
+    fixed = {r["id_"]: r["text_"] for r in encoding.restored(df, "doc_id", "text").collect()}
+    assert set(fixed) == set(range(1000, 1070))
+    assert all(t.startswith(SENTENCES[3]) for t in fixed.values())
+
+
 def test_encoding_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert encoding.restored(df, "doc_id", "text").collect() == []
