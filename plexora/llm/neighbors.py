@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexora.session import materialize, small_side
@@ -124,11 +124,26 @@ def _encoder(ix: Index, dim: int) -> Callable[[Iterator[pd.DataFrame]], Iterator
                 b = ix.books[m]
                 b = b[np.isfinite(b[:, 0])]
                 codes[:, m] = nearest(rest[:, m * sub : (m + 1) * sub], b, 1)[:, 0]
-            yield pd.DataFrame({"id_": p["id_"], "vec_": p["vec_"], "code_": [c.tobytes() for c in codes], "near_": list(near)})
+            yield pd.DataFrame({"id_": p["id_"], "vec_": p["vec_"], "asks_": p["asks_"], "code_": [c.tobytes() for c in codes], "near_": list(near)})
 
     return encode
 
 
+def _first(sims: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities and ids of the ``k`` most similar of each row, the smaller id
+    first among equals; ``ids`` ascend along the last axis, a row's own id comes last."""
+    ids = np.broadcast_to(ids, sims.shape)
+    sims = np.where(ids == own[:, None], -np.inf, np.clip(sims, -1, 1).round(12))
+    n = sims.shape[1]
+    if n > 4 * k:
+        # whole numbers that order by similarity, then place: no two are equal
+        place = np.where(np.isinf(sims), 2e12, -sims * 1e12).round().astype(np.int64) * n + np.arange(n)
+        some = np.sort(np.argpartition(place, k - 1, axis=1)[:, :k], 1)
+        sims, ids = np.take_along_axis(sims, some, 1), np.take_along_axis(ids, some, 1)
+    order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
+
+
 def _searcher(ix: Index, dim: int, k: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     empty = pd.DataFrame({"id_": pd.Series([], dtype="int64"), "ids": [], "sims": []})
 
@@ -147,38 +162,55 @@ def _searcher(ix: Index, dim: int, k: int) -> Callable[[tuple, pd.DataFrame, pd.
         half = (approx * approx).sum(1) / 2
         qid = queries["id_"].to_numpy(np.int64)
         out_i, out_s = [], []
-        wide = min(len(mid), ix.rerank + 1)
-        for i in range(0, len(qid), 512):
-            q = _stack(queries["vec_"].iloc[i : i + 512], dim).astype(np.float64)
-            q /= np.sqrt((q * q).sum(1))[:, None]
-            if wide < len(mid):
-                d = half[None, :] - q.astype(np.float32) @ approx.T
-                cand = np.sort(np.argpartition(d, wide - 1, axis=1)[:, :wide], 1)
-            else:
-                cand = np.broadcast_to(np.arange(len(mid)), (len(q), len(mid)))
-            sims = np.einsum("qd,qcd->qc", q, mv[cand]) if wide < len(mid) else q @ mv.T
-            ids = mid[cand]
-            sims = np.where(ids == qid[i : i + 512, None], -np.inf, np.clip(sims, -1, 1).round(12))
-            # candidates are in id order, so a stable sort puts the smaller id first among equals
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            top_s, top_i = np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
+
+        def tell(top_s: np.ndarray, top_i: np.ndarray) -> None:
             for s, t in zip(top_s, top_i):
                 good = s > -np.inf
                 out_i.append(t[good])
                 out_s.append(s[good])
+
+        wide = min(len(mid), ix.rerank + 1)
+        for i in range(0, len(qid), 512):
+            q = _stack(queries["vec_"].iloc[i : i + 512], dim).astype(np.float64)
+            q /= np.sqrt((q * q).sum(1))[:, None]
+            own = qid[i : i + 512]
+            if wide == len(mid):
+                tell(*_first(q @ mv.T, mid, own, k))
+                continue
+            d = half[None, :] - q.astype(np.float32) @ approx.T
+            cand = np.argpartition(d, wide - 1, axis=1)[:, :wide]
+            last = np.take_along_axis(d, cand, 1).max(1)
+            # more members at the cut than fit: codes cannot tell them apart, so the
+            # whole block is compared exactly
+            full = (d <= (last + 1e-6 * (1 + np.abs(last)))[:, None]).sum(1) > wide
+            top_s, top_i = np.empty((len(q), min(k, wide))), np.empty((len(q), min(k, wide)), np.int64)
+            if full.any():
+                top_s[full], top_i[full] = _first(q[full] @ mv.T, mid, own[full], top_s.shape[1])
+            part = ~full
+            cand = np.sort(cand[part], 1)
+            top_s[part], top_i[part] = _first(np.einsum("qd,qcd->qc", q[part], mv[cand]), mid[cand], own[part], top_s.shape[1])
+            tell(top_s, top_i)
         return pd.DataFrame({"id_": qid, "ids": out_i, "sims": out_s})
 
     return search
 
 
+def _cosine(a: str, b: str) -> Column:
+    def dot(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, z: t + z)
+
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
 def similar(df: DataFrame, key: str, vec: str, k: int = 10, dim: int = 64, probes: int = 16, rerank: int = 64, queries: str | None = None) -> DataFrame:
     """``(id_, nbr_, sim_, rank_)``: the ``k`` most similar rows of every row by
     cosine, the smaller id first among equals; fewer where the table is smaller.
 
     Unusable vectors (see :func:`usable_vectors`) neither ask nor answer. Of
-    exact copies only the ``k + 1`` smallest ids are indexed, since no further
-    copy can be among anyone's first ``k``; the other copies get the first
-    ``k`` of their group. ``queries`` (an SQL predicate on ``id_``) limits the
+    copies, at whatever length, only the ``k + 1`` smallest ids ask; every
+    further copy has the same first ``k`` as the last of these and takes them
+    over. All copies answer: a row beside them ranks them by the last digits
+    that scaling left. ``queries`` (an SQL predicate on ``id_``) limits the
     rows that ask, never the rows that answer. Recall is set by ``probes`` and
     ``rerank``; with as many probes as lists the search is exact.
 
@@ -186,25 +218,40 @@ def similar(df: DataFrame, key: str, vec: str, k: int = 10, dim: int = 64, probe
     :data:`BLOCK`, so a list with a third of all rows is many tasks.
     """
     rows = usable_vectors(df, key, vec, dim)
-    twin = rows.withColumn("h1_", F.xxhash64("vec_")).withColumn("h2_", F.xxhash64(F.lit(1), "vec_"))
-    rank = F.row_number().over(Window.partitionBy("h1_", "h2_").orderBy("id_"))
-    # rank <= k + 1 is cut on the map side, before the shuffle
-    kept = twin.withColumn("copy_", rank).where(F.col("copy_") <= k + 1)
-    members = materialize(kept.select("id_", "vec_", "h1_", "h2_"), "members")
-    n = members.count()
+    # lengths apart, copies meet in one cell of a fine grid; one that rounding parts forms a further group
+    length = F.sqrt(F.aggregate("vec_", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    # bound by an outer transform, the length is computed once a row, not once a value
+    cell = F.transform(F.array(length), lambda n: F.transform("vec_", lambda x: F.floor(x.cast("double") / n * 1e5 + 0.5)))
+    rows = materialize(rows.select("id_", "vec_", F.xxhash64(cell).alias("cell_")), "members")
+    n = rows.count()
     ask = F.expr(queries) if queries else F.lit(True)
     if n == 0:
         return rows.select("id_", F.col("id_").alias("nbr_"), F.lit(0.0).alias("sim_"), F.lit(1).alias("rank_")).limit(0)
-    ix = fit(members, n, dim, probes, rerank)
-    coded = materialize(
-        members.select("id_", "vec_").mapInPandas(_encoder(ix, dim), "id_ long, vec_ array<float>, code_ binary, near_ array<int>"), "coded"
-    )
+    by_cell = ["cell_"]
+    big = materialize(rows.groupBy(*by_cell).agg(F.count(F.lit(1)).alias("c_")).where(F.col("c_") > k + 1).select(*by_cell), "cells")
+    crowd = rows.join(small_side(big), by_cell)
+    heads = materialize(crowd.groupBy(*by_cell).agg(F.min_by("vec_", "id_").alias("head_")), "heads")
+    # a cell may hold more than copies: only rows at cosine 1 with its first row are a group
+    copies = crowd.join(small_side(heads), by_cell).where(_cosine("vec_", "head_") >= 1 - 1e-13).select("id_", *by_cell)
+    rank = F.row_number().over(Window.partitionBy(*by_cell).orderBy("id_"))
+    # rank <= k + 1 is cut on the map side, before the shuffle
+    firsts = copies.withColumn("copy_", rank).where(F.col("copy_") <= k + 1)
+    lasts = materialize(firsts.groupBy(*by_cell).agg(F.max("id_").alias("last_"), F.count(F.lit(1)).alias("c_")).where(F.col("c_") == k + 1).select(*by_cell, "last_"), "lasts")
+    further = materialize(copies.join(small_side(lasts), by_cell).where(F.col("id_") > F.col("last_")).select("id_", "last_"), "further")
+    state = rows.select("id_", "vec_").join(small_side(further.select("id_", F.lit(True).alias("further_"))), "id_", "left")
+    state = state.join(small_side(lasts.select(F.col("last_").alias("id_"), F.lit(True).alias("leads_"))), "id_", "left")
+    asking = (ask | F.col("leads_").isNotNull()) & F.col("further_").isNull()
+    members = materialize(state.select("id_", "vec_", F.coalesce(asking, F.lit(False)).alias("asks_"), F.col("further_").isNull().alias("fits_")), "state")
+    fitted = members.where("fits_").select("id_", "vec_")
+    ix = fit(fitted, fitted.count(), dim, probes, rerank)
+    coded = members.select("id_", "vec_", "asks_").mapInPandas(_encoder(ix, dim), "id_ long, vec_ array<float>, asks_ boolean, code_ binary, near_ array<int>")
+    coded = materialize(coded, "coded")
     # rows and visits of each list, at most MAX_LISTS numbers
     sizes = coded.groupBy(F.get("near_", F.lit(0)).alias("list_")).agg((F.floor((F.count(F.lit(1)) - 1) / BLOCK) + 1).cast("int").alias("m_"))
-    visits = coded.where(ask).select(F.explode("near_").alias("list_")).groupBy("list_").agg((F.floor((F.count(F.lit(1)) - 1) / BLOCK) + 1).cast("int").alias("q_"))
+    visits = coded.where("asks_").select(F.explode("near_").alias("list_")).groupBy("list_").agg((F.floor((F.count(F.lit(1)) - 1) / BLOCK) + 1).cast("int").alias("q_"))
     grid = small_side(materialize(sizes.join(visits, "list_"), "lists"), MAX_LISTS)
     asks = (
-        coded.where(ask)
+        coded.where("asks_")
         .select("id_", "vec_", F.explode("near_").alias("list_"))
         .join(grid, "list_")
         .select("id_", "vec_", "list_", F.pmod(F.xxhash64("id_"), F.col("q_")).cast("int").alias("qb_"), F.explode(F.sequence(F.lit(0), F.col("m_") - 1)).alias("mb_"))
@@ -223,18 +270,10 @@ def similar(df: DataFrame, key: str, vec: str, k: int = 10, dim: int = 64, probe
         .select("id_", F.posexplode(F.slice(F.array_sort("all_"), 1, k)))
         .select("id_", F.col("col.id").alias("nbr_"), (-F.col("col.neg")).alias("sim_"), (F.col("pos") + 1).alias("rank_"))
     )
-    # further copies: their most similar rows are the first of their group
-    heads = members.join(members.groupBy("h1_", "h2_").agg(F.count(F.lit(1)).alias("c_")).where(F.col("c_") > k), ["h1_", "h2_"])
-    firsts = heads.groupBy("h1_", "h2_").agg(F.slice(F.array_sort(F.collect_list("id_")), 1, k).alias("ids"), F.max("id_").alias("last_"))
-    more = (
-        twin.where(ask)
-        .select("id_", "h1_", "h2_")
-        .join(small_side(firsts), ["h1_", "h2_"])
-        .where(F.col("id_") > F.col("last_"))
-        .select("id_", F.posexplode("ids"))
-        .select("id_", F.col("col").alias("nbr_"), F.lit(1.0).alias("sim_"), (F.col("pos") + 1).alias("rank_"))
-    )
-    return best.unionByName(more)
+    best = materialize(best, "best")
+    own = best.where(ask).select("id_", "nbr_", "sim_", "rank_")
+    more = further.where(ask).join(small_side(best.withColumnRenamed("id_", "last_").join(small_side(lasts.select("last_")), "last_")), "last_")
+    return own.unionByName(more.select("id_", "nbr_", "sim_", "rank_"))
 
 
 def similar_pairs(neighbors: DataFrame, least: float = 0.9) -> DataFrame:

@@ -204,6 +204,23 @@ def test_neighbours_copies_and_dirt(spark):
     assert got == want
 
 
+def test_neighbours_copies_of_other_lengths(spark, monkeypatch):
+    # a third of the rows point one way at many lengths, and some rows lie beside them
+    monkeypatch.setattr(neighbors, "BLOCK", 256)
+    rng = np.random.RandomState(5)
+    one = rng.randn(64)
+    data = [(i, [float(x) for x in one * rng.uniform(0.1, 50)]) if i % 3 == 0 else (i, [float(x) for x in rng.randn(64)]) for i in range(3000)]
+    data += [(3000 + i, [float(x) for x in one + rng.randn(64) * 0.2]) for i in range(20)]
+    df = spark.createDataFrame([(i, v, "x", 0) for i, v in data], VEC)
+    want = brute_near(data, 10)
+    got = {}
+    for r in neighbors.similar(df, "emb_id", "v").orderBy("id_", "rank_").collect():
+        got.setdefault(r["id_"], []).append(r["nbr_"])
+    assert set(got) == set(want)
+    assert all(got[i] == want[i] for i in range(0, 3000, 3))
+    assert all(len(set(got[i]) & set(want[i])) == 10 for i in range(3000, 3020))
+
+
 def test_neighbours_few_rows(spark):
     empty = spark.createDataFrame([], VEC)
     assert neighbors.similar(empty, "emb_id", "v").collect() == []
