@@ -29,7 +29,7 @@ def chi2_tail(x: float, k: int) -> float:
     b = x + 1 - a
     c, d = 1e300, 1 / b
     h = d
-    for i in range(1, 500):
+    for i in range(1, 100_000):  # about the square root of the degrees of freedom is enough
         an = -i * (i - a)
         b += 2
         d = 1 / (an * d + b or 1e-300)
@@ -51,13 +51,13 @@ def neighbourhood_chi2(points: DataFrame, k: int, alpha: float = 0.05) -> DataFr
     near = nearest_rows(points, k).join(small_side(label), "v")
     seen = near.groupBy("u", "batch").agg(F.count(F.lit(1)).alias("o"))
     total = points.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    share = {r["batch"]: r["c"] / total for r in points.groupBy("batch").agg(F.count(F.lit(1)).alias("c")).limit(10_000).collect()}
-    want = F.create_map(*(x for b_, s in share.items() for x in (F.lit(b_), F.lit(s * k)))) if share else F.create_map()
-    e = F.try_element_at(want, F.col("batch"))
+    batches = points.groupBy("batch").agg((F.count(F.lit(1)) / F.lit(max(total, 1)) * k).alias("e"))
+    free = batches.count() - 1
+    seen = seen.join(small_side(batches.withColumnRenamed("batch", "b_")), F.col("batch").eqNullSafe(F.col("b_")))
     # sum over seen batches of o^2 / e, less k, is the statistic over all batches
-    stat = seen.groupBy("u").agg((F.sum(F.col("o") * F.col("o") / e) - F.sum("o")).alias("x"))
-    low, high = 0.0, 1e4
+    stat = seen.groupBy("u").agg((F.sum(F.col("o") * F.col("o") / F.col("e")) - F.sum("o")).alias("x"))
+    low, high = 0.0, max(1e4, 2.0 * free + 1e3)
     for _ in range(100):
         mid = (low + high) / 2
-        low, high = (mid, high) if chi2_tail(mid, len(share) - 1) > alpha else (low, mid)
+        low, high = (mid, high) if chi2_tail(mid, free) > alpha else (low, mid)
     return stat.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") > high).alias("rejected"), F.avg((F.col("x") <= high).cast("double")).alias("acceptance"))

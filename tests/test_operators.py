@@ -12,7 +12,7 @@ from plexora.functions import scalar as S
 from plexora.operators import edges as E
 from plexora.operators import greedy, intervals, metrics, model, network, nmic, reshape, samples, sampling, stats
 from plexora.operators.components import min_labels
-from plexora.operators.batch_mixing import chi2_tail
+from plexora.operators.batch_mixing import chi2_tail, neighbourhood_chi2
 from plexora.operators.windows import ratio_windows, windows
 
 NAN = float("nan")
@@ -373,6 +373,13 @@ def test_chi2_tail():
     assert chi2_tail(0, 3) == 1
 
 
+def test_batch_mixing_of_many_batches(spark):
+    # every row its own batch: x is n - 1 with n - 1 degrees of freedom, so none is rejected
+    n = 10_050
+    points = spark.createDataFrame([(i, f"b{i}", [float(i)]) for i in range(n)], "node long, batch string, vec array<double>")
+    assert tuple(neighbourhood_chi2(points, 1).first()) == (n, 0, 1.0)
+
+
 # ------------------------------------------------------------------ network
 
 
