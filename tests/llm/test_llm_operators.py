@@ -507,6 +507,45 @@ def test_encoding_copies_of_one_garbled_text(spark, chain):
     assert all(t.startswith(SENTENCES[3]) for t in fixed.values())
 
 
+def test_encoding_leaves_clean_words_alone(spark):
+    # two capitals are the bytes of an East Asian character that the corpus has
+    docs = [(i, SENTENCES[i % 7] + f" {i}") for i in range(140)]
+    docs += [(500 + i, "A ESTAÇÃO DA SEÇÃO") for i in range(30)] + [(600, "ESTAÇÃO"), (601, "Редкие клетки РЁБРА Рёбра"), (602, "INFORMAÇÕES E AÇÃO")]
+    docs += [(700 + i, "開花のЫ時期 " + c) for i, c in enumerate("のЫがは")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert encoding.restored(df, "doc_id", "text").collect() == []
+
+
+def test_encoding_lossy_forms_follow_the_text(spark):
+    docs = [(i, SENTENCES[i % 7] + f" {i}") for i in range(140)] + [(300 + i, f"die Dichte ρl ist {i}") for i in range(30)]
+    lossy = "9 µl gekühlt und häufiger gezählt".encode("cp1252").decode("utf-8", "replace")
+    df = spark.createDataFrame(docs + [(900, lossy), (901, "nur l\ufffd")], "doc_id long, text string")
+    got = {r["id_"]: (r["text_"], r["n_lost"]) for r in encoding.restored(df, "doc_id", "text").collect()}
+    assert got[900] == ("9 µl gekühlt und häufiger gezählt", 0)
+    assert set(got) == {900, 901} and got[901] == ("nur l\ufffd", 1)
+
+
+def test_encoding_words_of_one_document_are_originals(spark):
+    # neither text is repeated; the garbled one holds a word that stands nowhere else
+    clean = SENTENCES[3] + " Редкостный случай наблюдали"
+    docs = [(i, SENTENCES[i % 7] + f" {i}") for i in range(140)] + [(900, clean)]
+    bad = wrong(clean + " позднейший", [("koi8-r", "cp1251")])
+    df = spark.createDataFrame(docs + [(901, bad), (902, wrong("Wüstenläufer", [("utf-8", "cp1252")])), (903, "Wüstenläufer")], "doc_id long, text string")
+    got = {r["id_"]: r["text_"] for r in encoding.restored(df, "doc_id", "text").collect()}
+    assert got == {901: clean + " позднейший", 902: "Wüstenläufer"}
+
+
+def test_undone_leads_back():
+    tables = encoding._tables()
+    inverse = {n: {c: b for b, c in enumerate(row)} for n, row in tables.items()}
+    for word in ("größer", "клетка", "ρ°"):
+        for form, chain in encoding.garbled_forms(word, tables):
+            back = encoding.undone(form, chain, tables, inverse)
+            assert back is None or (form, chain) in encoding.garbled_forms(back, tables)
+    assert encoding.undone("grÃ¶ÃŸer", "utf-8>cp1252", tables, inverse) == "größer"
+    assert encoding.undone("größer", "utf-8>cp1252", tables, inverse) is None
+
+
 def test_encoding_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert encoding.restored(df, "doc_id", "text").collect() == []
