@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexora.llm.cutoffs import label
@@ -70,13 +70,15 @@ def exponent_for(shares: list[float], targets: list[float], caps: list[float], e
     return low
 
 
-def mix_plan(sizes: DataFrame, targets: DataFrame, source: str, share: str, repeats: str, mix_tokens: float | None = None, entropy: float | None = None) -> tuple[list[Source], int, float]:
+def mix_plan(sizes: DataFrame, targets: DataFrame, source: str, share: str, repeats: str, mix_tokens: float | None = None, entropy: float | None = None, tempering: bool = True) -> tuple[list[Source], int, float]:
     """``(plan, tokens of all documents, exponent)``.
 
     ``mix_tokens`` is the size of the mix; without it the largest at which every
     source with tokens reaches its target within its repeats, so the exponent is
     1. ``fillable`` says whether the source could fill its target share of a mix
-    as large as the corpus. A label given twice counts once, with its larger
+    as large as the corpus. Without ``tempering`` the exponent stays 1 and every
+    source gets its own target share or, if that is less, all its repeats; the
+    mix is then smaller than asked for. A label given twice counts once, with its larger
     share; shares below 0 and null ones count as 0.
     """
     goal = {}
@@ -101,8 +103,8 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, source: str, share: str, repe
     if mix_tokens is None:
         mix_tokens = min([c / t for c, t in zip(limit, norm) if t > 0], default=0.0)
     caps = [c / mix_tokens if mix_tokens else 0.0 for c in limit]
-    e = exponent_for(shares, norm, caps, entropy)
-    weights = tempered(shares, norm, e)
+    e = exponent_for(shares, norm, caps, entropy) if tempering else 1.0
+    weights = tempered(shares, norm, e) if tempering else want
     plan = [
         Source(s, t, goal[s][1], n, have.get(s, (0, 0))[1], w, min(w * mix_tokens, c), not t * total > c)
         for s, t, n, w, c in zip(names, want, tokens, weights, limit)
@@ -115,8 +117,8 @@ def _thresholds(sizes: DataFrame, need: dict[str, float]) -> dict[str, int]:
 
     The permutation's blocks are the leading hash bits. Each pass sums the
     tokens per block inside the one block in which the budget ends (map-side
-    combined, at most 4,096 sums a source reach the driver) and goes down into
-    it, until that block is a single document, which is taken if the sum then
+    combined, 4,096 sums a source, of which one row reaches the driver) and goes
+    down into it, until that block is a single document, which is taken if the sum then
     comes nearer to the budget.
     """
     low, left = {s: 0 for s in need}, dict(need)
@@ -129,23 +131,23 @@ def _thresholds(sizes: DataFrame, need: dict[str, float]) -> dict[str, int]:
         width = 1 << (_BITS * (_DEPTH - depth - 1))
         at = F.broadcast(spark.createDataFrame([(s, low[s]) for s in open_], "source_ string, low_ long"))
         inside = sizes.join(at, "source_").where((F.col("h_") >= F.col("low_")) & (F.col("h_") < F.col("low_") + (width << _BITS)))
-        bins: dict[str, list] = {s: [] for s in open_}
-        got = inside.groupBy("source_", F.floor((F.col("h_") - F.col("low_")) / width).alias("bin")).agg(F.sum("n_").alias("n"), F.count(F.lit(1)).alias("c"))
-        for r in got.collect():
-            bins[r["source_"]].append((r["bin"], r["n"], r["c"]))
+        per = inside.groupBy("source_", F.floor((F.col("h_") - F.col("low_")) / width).alias("bin")).agg(F.sum("n_").alias("n"), F.count(F.lit(1)).alias("c"))
+        # the block of every source in which its budget ends: one row a source leaves the executors
+        budget = F.broadcast(spark.createDataFrame([(s, float(left[s])) for s in open_], "source_ string, left_ double"))
+        upto = F.sum("n").over(Window.partitionBy("source_").orderBy("bin"))
+        ends = per.withColumn("upto_", upto).join(budget, "source_").where("upto_ > left_").groupBy("source_").agg(F.min_by(F.struct("bin", "n", "c", "upto_"), "bin").alias("e"))
+        hit = {r["source_"]: r["e"] for r in ends.collect()}
         for s in open_:
-            for b, n, c in sorted(bins[s]):
-                if n <= left[s]:
-                    left[s] -= n
-                    continue
-                if c == 1 or depth == _DEPTH - 1:
-                    # one document, or several of one hash, end the budget
-                    done[s] = low[s] + (b + 1) * width if n - left[s] < left[s] else low[s] + b * width
-                else:
-                    low[s] += b * width
-                break
-            else:
+            if s not in hit:
                 done[s] = low[s] + (width << _BITS)
+                continue
+            b, n, c, upto_ = hit[s]
+            left[s] -= upto_ - n
+            if c == 1 or depth == _DEPTH - 1:
+                # one document, or several of one hash, end the budget
+                done[s] = low[s] + (b + 1) * width if n - left[s] < left[s] else low[s] + b * width
+            else:
+                low[s] += b * width
     return done
 
 

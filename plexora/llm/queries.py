@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plexora.llm import cutoffs, encoding, mixing, neighbors, overlap, packing, splits, topn
 from plexora.plans.registry import Registry
-from plexora.session import table
+from plexora.session import materialize, table
 
 REG = Registry()
 
@@ -217,13 +217,11 @@ p AS (
 """
 
 
-def _mix(spark: SparkSession, d: str, whole: bool) -> tuple[DataFrame, list[mixing.Source]]:
+def _mix(spark: SparkSession, d: str, whole: bool, tempering: bool = True) -> tuple[DataFrame, list[mixing.Source]]:
     """Sizes and plan; of a mix as large as the corpus if ``whole``."""
-    from plexora.session import materialize
-
     sizes = materialize(mixing.document_sizes(table(spark, d, "documents", "doc_id", "text", "source"), "doc_id", "text", "source"), "sizes")
     total = sizes.agg(F.sum("n_")).first()[0] if whole else None
-    plan, _, _ = mixing.mix_plan(sizes, table(spark, d, "mix_target"), "source", "target_share", "max_repeats", total)
+    plan, _, _ = mixing.mix_plan(sizes, table(spark, d, "mix_target"), "source", "target_share", "max_repeats", total, tempering=tempering)
     return sizes, plan
 
 
@@ -232,9 +230,13 @@ def _mix(spark: SparkSession, d: str, whole: bool) -> tuple[DataFrame, list[mixi
     _SOURCES + "SELECT source FROM p WHERE target_share * (SELECT sum(n) FROM x) > max_repeats * tokens",
 )
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    sizes, plan = _mix(spark, d, whole=True)
+    """Sources of which the mix uses every document as often as allowed and that
+    stay below their share nevertheless."""
+    sizes, plan = _mix(spark, d, whole=True, tempering=False)
     report = mixing.mix_report(mixing.mix(sizes, plan), plan)
-    return report.where("not fillable").select("source")
+    total = sizes.agg(F.coalesce(F.sum("n_"), F.lit(0))).first()[0]
+    spent = F.col("mix_tokens") >= F.col("max_repeats") * F.col("tokens")
+    return report.where(spent & (F.col("mix_tokens") < F.col("target_share") * F.lit(total))).select("source")
 
 
 @REG.add(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -10,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexora.operators.components import min_labels
-from plexora.session import materialize
+from plexora.session import materialize, small_side
 
 #: Names that stand for no label once reduced.
 PLACEHOLDERS = ("", "na", "unknown")
 #: Components that one task anneals together.
 BLOCK = 20_000
-#: Label values that are balanced one by one; all others share one measure.
-LABELS = 48
+#: Splits that a table of targets may have.
+MAX_SPLITS = 1_000
 
 
 def reduced(c: Column) -> Column:
@@ -68,31 +69,47 @@ def tied_groups(df: DataFrame, key: str, batch: str, name: str, label: str) -> D
     return rows.select("key_", "label_", "pair_").join(info, "pair_").select(F.col("key_").alias(key), "label_", "group_", "group_size_")
 
 
-def _cost(dev: np.ndarray, weight: np.ndarray) -> float:
-    return float((dev * dev * weight).sum())
+#: A component as ``(measure, size)`` pairs; measure 0 is its rows.
+Sizes = list[list[tuple[int, float]]]
 
 
-def anneal(sizes: np.ndarray, start: np.ndarray, props: np.ndarray, offset: np.ndarray, weight: np.ndarray, steps: int, seed: int) -> np.ndarray:
+def anneal(sizes: np.ndarray | Sizes, start: np.ndarray, props: np.ndarray, offset: np.ndarray, weight: np.ndarray, steps: int, seed: int) -> np.ndarray:
     """Swap search over one block of components.
 
-    ``sizes`` is components x measures (rows, then rows per label); ``start``
-    the split of each; ``offset`` the deviation that the other blocks leave to
-    this one. Moves a component or exchanges two, accepts by the Metropolis
-    rule under a falling temperature and returns the best assignment seen.
+    ``sizes`` is components x measures (rows, then rows per label), dense or as
+    the pairs that are not 0; ``start`` the split of each; ``offset`` the
+    deviation that the other blocks leave to this one, splits x measures. Moves
+    a component or exchanges two, accepts by the Metropolis rule under a falling
+    temperature and returns the best assignment seen.
     """
+    if isinstance(sizes, np.ndarray):
+        sizes = [[(int(m), float(row[m])) for m in np.flatnonzero(row)] for row in sizes]
     rng = np.random.RandomState(seed & 0x7FFFFFFF)
     n, k = len(sizes), len(props)
-    at = start.copy()
-    dev = np.zeros((k, sizes.shape[1]))
-    np.add.at(dev, at, sizes)
-    dev += offset - props[:, None] * sizes.sum(0)[None, :]
-    cost = _cost(dev, weight)
+    at = [int(x) for x in start]
+    if n == 0 or k < 2:
+        return np.array(at, np.int64)
+    dev = np.array(offset, float)
+    for c, part in zip(at, sizes):
+        for m, x in part:
+            dev[c, m] += x
+            dev[:, m] -= props * x
+    cost = float((dev * dev * weight).sum())
+    dev, weight = dev.tolist(), weight.tolist()
+
+    def move(part: list[tuple[int, float]], a: int, b: int) -> float:
+        """Carry a component from ``a`` to ``b``; what that adds to the cost."""
+        da, db, change = dev[a], dev[b], 0.0
+        for m, x in part:
+            change += weight[m] * x * (x + db[m] - da[m])
+            da[m] -= x
+            db[m] += x
+        return 2 * change
+
     best_cost = cost
     undo: list[tuple[int, int]] = []  # what happened since the best assignment
-    if n == 0 or k < 2:
-        return at
     heat = max(cost / n, 1e-12)
-    picks, others, moves, luck = rng.randint(n, size=steps), rng.randint(n, size=steps), rng.randint(1, k, size=steps), rng.random_sample(steps)
+    picks, others, moves, luck = (x.tolist() for x in (rng.randint(n, size=steps), rng.randint(n, size=steps), rng.randint(1, k, size=steps), rng.random_sample(steps)))
     for t in range(steps):
         i = picks[t]
         a = at[i]
@@ -101,15 +118,17 @@ def anneal(sizes: np.ndarray, start: np.ndarray, props: np.ndarray, offset: np.n
             b = at[j]
             if a == b:
                 continue
-            delta = sizes[i] - sizes[j]
         else:
-            j, b, delta = -1, (a + moves[t]) % k, sizes[i]
-        new_a, new_b = dev[a] - delta, dev[b] + delta
-        change = float(((new_a * new_a + new_b * new_b - dev[a] * dev[a] - dev[b] * dev[b]) * weight).sum())
+            j, b = -1, (a + moves[t]) % k
+        change = move(sizes[i], a, b)
+        if j >= 0:
+            change += move(sizes[j], b, a)
         temp = heat * (1 - t / steps) ** 3
-        if change > 0 and (temp <= 0 or luck[t] >= np.exp(-change / temp)):
+        if change > 0 and (temp <= 0 or luck[t] >= math.exp(-change / temp)):
+            move(sizes[i], b, a)
+            if j >= 0:
+                move(sizes[j], a, b)
             continue
-        dev[a], dev[b] = new_a, new_b
         at[i] = b
         undo.append((i, a))
         if j >= 0:
@@ -121,24 +140,38 @@ def anneal(sizes: np.ndarray, start: np.ndarray, props: np.ndarray, offset: np.n
             undo.clear()
     for i, a in reversed(undo):
         at[i] = a
-    return at
+    return np.array(at, np.int64)
 
 
-def _block_work(cols: list[str], props: np.ndarray, weight: np.ndarray, dev: np.ndarray, blocks: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The task that anneals one block of one replica."""
+def _block_work(props: np.ndarray, total: float, labels: int, dev: np.ndarray, blocks: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The task that anneals one block of one replica; ``dev`` is the deviation
+    of the rows per replica and split."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("group_", ignore_index=True)
+        pdf = pdf.sort_values(["group_", "label_"], ignore_index=True)
         rep, block = int(pdf["replica"][0]), int(pdf["block"][0])
-        sizes, at = pdf[cols].to_numpy(float), pdf["at"].to_numpy().astype(np.int64)
-        local = np.zeros((len(props), len(cols)))
-        np.add.at(local, at, sizes)
-        local -= props[:, None] * sizes.sum(0)[None, :]
+        comp, _ = pd.factorize(pdf["group_"])
+        names, first = np.unique(pdf["label_"].to_numpy(str), return_index=True)
+        code = np.searchsorted(names, pdf["label_"].to_numpy(str)) + 1
+        n = pdf["n"].to_numpy(float)
+        heads = np.flatnonzero(np.r_[True, comp[1:] != comp[:-1]])
+        at = pdf["at"].to_numpy(np.int64)[heads]
+        sizes = [[(0, float(x))] for x in np.add.reduceat(n, heads)]
+        for c, m, x in zip(comp.tolist(), code.tolist(), n.tolist()):
+            sizes[c].append((m, x))
+        # deviations of the replica by its own splits and by this block's part of them
+        whole = np.column_stack([dev[rep], np.vstack(pdf["dev_"].to_numpy()[first]).T])
+        per = np.r_[total, pdf["total_"].to_numpy(float)[first]]
+        weight = np.r_[4.0, np.full(len(names), 1.0 / labels)] / np.maximum(per, 1) ** 2
+        local = np.zeros_like(whole)
+        for c, part in zip(at.tolist(), sizes):
+            for m, x in part:
+                local[c, m] += x
+                local[:, m] -= props * x
         # this block takes its own deviation and an even part of the others'
-        offset = (dev[rep] - local) / blocks
-        steps = int(min(60_000, 2_000 + 8 * len(pdf)))
-        pdf["at"] = anneal(sizes, at, props, offset, weight, steps, seed + rep * 101 + block).astype("int32")
-        return pdf.drop(columns="block")
+        done = anneal(sizes, at, props, (whole - local) / blocks, weight, 2_000 + 8 * len(sizes), seed + rep * 101 + block)
+        pdf["at"] = done[comp].astype("int32")
+        return pdf[["replica", "group_", "label_", "n", "at"]]
 
     return work
 
@@ -149,65 +182,64 @@ def split_components(groups: DataFrame, targets: DataFrame, split: str, proporti
     Starts from a hashed assignment. In each round the components are hashed
     anew into blocks of about :data:`BLOCK`; every block of every replica is
     annealed in its own task, each correcting its part of the deviation that
-    the replica has over all blocks. Deviations (splits x labels, a few hundred
-    numbers) are all that reaches the driver. The assignment with the smallest
-    deviation of any replica and round is kept. Deterministic for given data.
+    the replica has over all blocks. Every label is balanced by itself, however
+    many there are: sizes are rows per component and label, and a block sees the
+    deviations of its own labels. Only the rows per split and one cost for each
+    replica reach the driver. The assignment with the smallest deviation of any
+    replica and round is kept. Deterministic for given data.
     """
     names, props = _targets(targets, split, proportion)
-    per = groups.groupBy("group_", "label_").agg(F.count(F.lit(1)).alias("n"))
-    per = materialize(per, "components")
-    known = [r["label_"] for r in per.groupBy("label_").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label_").limit(LABELS).collect()]
-    measures = 1 + len(known) + 1
-    index = F.lit(len(known))
-    for i, x in enumerate(known):
-        index = F.when(F.col("label_") == x, i).otherwise(index)
-    comps = materialize(
-        per.groupBy("group_").agg(
-            F.sum("n").cast("double").alias("n"),
-            *(F.sum(F.when(index == i, F.col("n")).otherwise(0)).cast("double").alias(f"m{i}") for i in range(len(known) + 1)),
-        ),
-        "sizes",
-    )
-    cols = ["n", *(f"m{i}" for i in range(len(known) + 1))]
-    head = comps.agg(F.count(F.lit(1)).alias("c"), *(F.sum(c).alias(c) for c in cols)).first()
-    if not head["c"]:
-        return comps.select("group_", F.lit(None).cast("string").alias("split")).limit(0)
-    total = np.array([head[c] for c in cols], dtype=float)
-    # a label's deviation counts relative to its size, sizes count most
-    weight = np.array([4.0 / max(total[0], 1) ** 2, *(1.0 / (max(x, 1) ** 2 * measures) for x in total[1:])])
-    blocks = max(1, -(-head["c"] // BLOCK))
+    per = materialize(groups.groupBy("group_", "label_").agg(F.count(F.lit(1)).cast("double").alias("n")), "components")
+    totals = materialize(per.groupBy("label_").agg(F.sum("n").alias("total_")), "labels")
+    head = totals.agg(F.count(F.lit(1)).alias("labels"), F.sum("total_").alias("n")).first()
+    if not head["labels"]:
+        return per.select("group_", F.lit(None).cast("string").alias("split")).limit(0)
+    total, labels = float(head["n"]), int(head["labels"])
+    blocks = max(1, -(-per.select("group_").distinct().count() // BLOCK))
     bounds = np.cumsum(props)
     u = F.pmod(F.xxhash64("group_", "replica"), F.lit(1 << 30)) / float(1 << 30)
     first = F.lit(len(names) - 1)
     for i in reversed(range(len(names) - 1)):
         first = F.when(u < float(bounds[i]), i).otherwise(first)
-    state = comps.withColumn("replica", F.explode(F.array(*(F.lit(r) for r in range(replicas))))).withColumn("at", first)
-    state = materialize(state, "start")
-
-    def deviations(s: DataFrame) -> np.ndarray:
-        out = -np.repeat((props[:, None] * total[None, :])[None], replicas, 0)
-        for r in s.groupBy("replica", "at").agg(*(F.sum(c).alias(c) for c in cols)).collect():
-            out[r["replica"], r["at"]] += [r[c] for c in cols]
-        return out
-
-    dev = deviations(state)
-    costs = [_cost(d, weight) for d in dev]
+    state = per.withColumn("replica", F.explode(F.array(*(F.lit(r) for r in range(replicas))))).withColumn("at", first)
+    state = materialize(state.select("replica", "group_", "label_", "n", "at"), "start")
+    share = F.array(*(F.lit(float(x)) for x in props))
+
+    def deviations(s: DataFrame) -> tuple[DataFrame, np.ndarray, list[float]]:
+        """Per replica and label the deviations of the splits; those of all rows; costs."""
+        got = s.groupBy("replica", "label_", "at").agg(F.sum("n").alias("n"))
+        got = got.groupBy("replica", "label_").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m_"))
+        gap = F.transform(share, lambda p, i: F.coalesce(F.try_element_at("m_", i), F.lit(0.0)) - p * F.col("total_"))
+        per_label = materialize(got.join(small_side(totals), "label_").select("replica", "label_", "total_", gap.alias("dev_")), "deviations")
+        square = F.aggregate("dev_", F.lit(0.0), lambda a, x: a + x * x) / F.pow(F.greatest("total_", F.lit(1.0)), F.lit(2)) / labels
+        sums = per_label.groupBy("replica").agg(F.sum(square).alias("cost"), *(F.sum(F.get("dev_", F.lit(k))).alias(f"d{k}") for k in range(len(names)))).collect()
+        rows, costs = np.zeros((replicas, len(names))), [0.0] * replicas
+        for r in sums:
+            rows[r["replica"]] = [r[f"d{k}"] for k in range(len(names))]
+            costs[r["replica"]] = r["cost"] + 4.0 * float((rows[r["replica"]] ** 2).sum()) / max(total, 1) ** 2
+        return per_label, rows, costs
+
+    per_label, dev, costs = deviations(state)
     best = (min(costs), state, int(np.argmin(costs)))
     for rnd in range(rounds):
         tagged = state.withColumn("block", F.pmod(F.xxhash64("group_", F.lit(rnd + seed)), F.lit(blocks)).cast("int"))
-
-        work = _block_work(cols, props, weight, dev, blocks, seed * 1_000_003 + rnd * 10_007)
-        state = materialize(tagged.groupBy("replica", "block").applyInPandas(work, state.schema), f"round{rnd}")
-        dev = deviations(state)
-        costs = [_cost(d, weight) for d in dev]
+        work = _block_work(props, total, labels, dev, blocks, seed * 1_000_003 + rnd * 10_007)
+        known = tagged.join(small_side(per_label), ["replica", "label_"])
+        state = materialize(known.groupBy("replica", "block").applyInPandas(work, state.schema), f"round{rnd}")
+        per_label, dev, costs = deviations(state)
         if min(costs) < best[0]:
             best = (min(costs), state, int(np.argmin(costs)))
     names_of = F.array(*(F.lit(x) for x in names))
-    return best[1].where(F.col("replica") == best[2]).select("group_", F.get(names_of, F.col("at")).alias("split"))
+    # a component has one row per label here, all of one split
+    done = best[1].where(F.col("replica") == best[2]).groupBy("group_").agg(F.min("at").alias("a_"), F.max("at").alias("b_"))
+    parted = F.raise_error(F.concat(F.lit("a component in two splits: "), F.col("group_"))).cast("int")
+    return done.select("group_", F.get(names_of, F.when(F.col("a_") == F.col("b_"), F.col("a_")).otherwise(parted)).alias("split"))
 
 
 def _targets(targets: DataFrame, split: str, proportion: str) -> tuple[list[str], np.ndarray]:
-    got = targets.where(F.col(split).isNotNull() & (F.col(proportion) > 0)).orderBy(F.desc(proportion), split).limit(64).collect()
+    got = targets.where(F.col(split).isNotNull() & (F.col(proportion) > 0)).orderBy(F.desc(proportion), split).limit(MAX_SPLITS + 1).collect()
+    if len(got) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} splits")
     if not got:
         raise ValueError("no split has a positive proportion")
     p = np.array([r[proportion] for r in got], dtype=float)
@@ -224,6 +256,8 @@ def assign_splits(df: DataFrame, targets: DataFrame, key: str, batch: str, name:
 
 def found_groups(assigned: DataFrame, key: str) -> DataFrame:
     """``(key, group_batch)`` of the assigned rows whose group has two rows or
-    more and a batch."""
-    kept = assigned.where((F.col("group_size_") >= 2) & F.startswith("group_", F.lit("b:")))
+    more and a batch. Reading it fails if the assignment left a row without a
+    split; :func:`split_components` fails if it parted a component."""
+    bad = F.raise_error(F.concat(F.lit("without a split: "), F.col("group_"))).cast("boolean")
+    kept = assigned.where((F.col("group_size_") >= 2) & F.startswith("group_", F.lit("b:"))).where(F.when(F.col("split").isNull(), bad).otherwise(F.lit(True)))
     return kept.select(key, F.substring("group_", 3, 1 << 30).alias("group_batch"))

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,6 +127,24 @@ def test_splits_hit_the_proportions(spark):
     assert all(abs(share[s] - p) < 0.01 for s, p in TARGET)
 
 
+def test_splits_balance_every_label(spark):
+    # more labels than any table of measures would hold singly, one component with a third of the rows
+    data = [(i, f"batch{i // 6}", None, f"t{i % 200}", 1) for i in range(12_000)] + [(20_000 + i, "hot", None, f"t{i % 200}", 1) for i in range(6_000)]
+    df = spark.createDataFrame(data, "obs_id long, batch string, obs_names string, tissue string, split long")
+    goal = spark.createDataFrame([("trn", 0.6), ("val", 0.2), ("tst", 0.2)], "split string, proportion double")
+    got = splits.assign_splits(df.drop("split"), goal, "obs_id", "batch", "obs_names", "tissue", "split", "proportion")
+    per = got.groupBy("label_", "split").count().toPandas().pivot(index="label_", columns="split", values="count").fillna(0)
+    share = per.div(per.sum(1), axis=0)
+    assert len(per) == 200 and abs(share["trn"].mean() - 0.6) < 0.01
+    assert (share["trn"] - 0.6).abs().max() < 0.12 and (share["val"] - 0.2).abs().max() < 0.12
+
+
+def test_splits_too_many_targets(spark):
+    goal = spark.createDataFrame([(f"s{i}", 1.0) for i in range(splits.MAX_SPLITS + 1)], "split string, proportion double")
+    with pytest.raises(ValueError):
+        splits._targets(goal, "split", "proportion")
+
+
 def test_splits_empty(spark):
     t = spark.createDataFrame(TARGET, "split string, proportion double")
     df = spark.createDataFrame([], OBS)
@@ -291,6 +310,33 @@ def test_overlaps_against_brute_force(spark, monkeypatch, bucket):
     assert sorted((r["a"], r["b"]) for r in overlap.overlap_pairs(links, t, e).collect()) == brute_pairs(data)
 
 
+@pytest.mark.parametrize("n_edits", [1, 2])
+def test_deletion_hashes_meet(n_edits):
+    rng = random.Random(3)
+    cut = overlap._deletions(n_edits)
+    keys = lambda names: {n: set(p["k_"]) for n in names for p in [pd.concat(list(cut(iter([pd.DataFrame({"name_": [n]})]))))]}
+    for n in ("", "a", "ab", "abcabc", "x" * 9, "é𝛽c" * 4, "sample00012345"):
+        near = n
+        for _ in range(n_edits):
+            at, kind = rng.randint(0, max(len(near) - 1, 0)), rng.choice("idr")
+            near = near[:at] + ("z" if kind != "d" else "") + near[at + (kind != "i") :]
+        got = keys({n, near})
+        assert got[n] & got[near]
+    assert not keys({"abcdef"})["abcdef"] & keys({"uvwxyz"})["uvwxyz"]
+
+
+def test_overlaps_one_edit_and_refusals(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BUCKET", 2)
+    rng = random.Random(12)
+    t = list({"ref" + "".join(rng.choice("ab") for _ in range(rng.randint(2, 7))) for _ in range(60)})
+    e = list({"ref" + "".join(rng.choice("ab") for _ in range(rng.randint(2, 7))) for _ in range(60)})
+    a, b = spark.createDataFrame([(x,) for x in t], "name_ string"), spark.createDataFrame([(x,) for x in e], "name_ string")
+    want = {(x, y) for x in t for y in e if edits(x, y) <= 1}
+    assert {tuple(r) for r in overlap.near_names(a, b, 1).collect()} == want
+    with pytest.raises(ValueError):
+        overlap.near_names(a, b, 3)
+
+
 def test_overlap_counts_and_empty(spark):
     data = [(1, "aaaa", "trn", "r"), (2, "aaaa", "trn", "r"), (3, "AA-AA", "val", None), (4, "aaab", "val", None), (5, "zzzzzz", "tst", "r")]
     links, t, e = overlap_case(spark, data)
@@ -435,6 +481,16 @@ def test_mix_infeasible_and_empty(spark):
     assert mix_case(spark, docs, [(None, 1.0, 1)])[4] == {}
 
 
+def test_mix_without_tempering_shows_what_cannot_be_filled(spark):
+    docs = [(i, "x" * 10, "big") for i in range(90)] + [(100 + i, "x" * 10, "small") for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    sizes = mixing.document_sizes(df, "doc_id", "text", "source")
+    goal = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2), ("none", 0.1, 4)], "s string, t double, r int")
+    plan, total, e = mixing.mix_plan(sizes, goal, "s", "t", "r", 1000.0, tempering=False)
+    rep = {r["source"]: r["mix_tokens"] for r in mixing.mix_report(mixing.mix(sizes, plan), plan).collect()}
+    assert e == 1.0 and rep == {"big": 500, "small": 200, "none": 0}
+
+
 def test_exponent_meets_entropy():
     p, t = [0.7, 0.2, 0.1], [1 / 3] * 3
     e = mixing.exponent_for(p, t, [9, 9, 9])
