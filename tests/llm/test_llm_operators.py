@@ -210,6 +210,43 @@ def test_neighbours_recall(spark):
     assert recall >= 0.9, recall
 
 
+def table_of_vectors(spark, path, n, seed, centres):
+    rng = np.random.RandomState(seed)
+    c = rng.randn(centres, 64).astype(np.float32)
+    x = c[rng.randint(centres, size=n)] + rng.randn(n, 64).astype(np.float32) * 0.7
+    pd.DataFrame({"emb_id": np.arange(n), "v": list(x)}).to_parquet(path)
+    return spark.read.parquet(str(path)), x.astype(float)
+
+
+def recall_of_queries(found, x, k=10):
+    x = x / np.sqrt((x * x).sum(1))[:, None]
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["id_"], set()).add(r["nbr_"])
+    hits = 0
+    for i, near in got.items():
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(near & set(np.argpartition(-s, k)[:k].tolist()))
+    return len(got), hits / (k * len(got))
+
+
+def test_neighbours_recall_with_many_lists(spark, tmp_path):
+    # 128 lists, of which 24 are searched
+    df, x = table_of_vectors(spark, tmp_path / "v.parquet", 100_000, 3, 3000)
+    n, recall = recall_of_queries(neighbors.similar(df, "emb_id", "v", queries="id_ % 200 = 0"), x)
+    assert n == 500 and recall >= 0.95, recall
+
+
+def test_neighbours_recall_with_two_levels(spark, tmp_path, monkeypatch):
+    # few centroids: the second level makes 64 lists of 16, in four groups
+    monkeypatch.setattr(neighbors, "MAX_LISTS", 16)
+    monkeypatch.setattr(neighbors, "GROUP", 4)
+    df, x = table_of_vectors(spark, tmp_path / "v.parquet", 20_000, 4, 1000)
+    n, recall = recall_of_queries(neighbors.similar(df, "emb_id", "v", queries="id_ % 100 = 0"), x)
+    assert n == 200 and recall >= 0.9, recall
+
+
 def test_neighbours_copies_and_dirt(spark):
     one = [1.0] + [0.0] * 63
     data = [(i, one) for i in range(30)] + [(100 + i, [1.0, 0.01 * i] + [0.0] * 62) for i in range(5)]
