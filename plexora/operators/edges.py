@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from plexora.functions.scalar import edge_class, finite, pearson
 from plexora.operators.running import running
-from plexora.session import small_side
+from plexora.session import materialize, small_side
 
 #: The fixed form of a fused edge table.
 EDGE_SCHEMA = T.StructType(
@@ -99,16 +99,19 @@ def undirected_top(edges: DataFrame, k: int) -> DataFrame:
 
 def global_top(edges: DataFrame, cap: int) -> DataFrame:
     """The ``cap`` strongest edges, smaller ends first among equals."""
-    return edges.orderBy(F.desc("w"), "u", "v").limit(cap)
+    from plexora.operators.stats import first_rows
+
+    return first_rows(edges, "w", ("u", "v"), cap)
 
 
 def top_fraction(edges: DataFrame, fraction: float, weight: str = "w") -> DataFrame:
     """The strongest ``max(1, ceil(rows * fraction))`` edges; none of none."""
     if not 0 < fraction <= 1:
         raise ValueError("a fraction in (0, 1]")
+    from plexora.operators.stats import first_rows
+
     n = edges.count()
-    k = max(1, -int(-n * fraction // 1)) if n else 0
-    return edges.orderBy(F.desc(weight), "u", "v").limit(k)
+    return first_rows(edges, weight, ("u", "v"), max(1, -int(-n * fraction // 1)) if n else 0)
 
 
 def expand_vocabulary(old: DataFrame, names: DataFrame, name: str = "name", index: str = "idx") -> DataFrame:
@@ -165,21 +168,20 @@ def forced_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def canonical_table(edges: DataFrame) -> DataFrame:
     """The fixed seven columns with the smaller index first, names exchanged
-    along with it; missing text columns are null. A missing index or weight
-    column is an error."""
-    missing = {"src_expanded_idx", "dst_expanded_idx", "edge_weight"} - set(edges.columns)
+    along with it; a NaN weight is null. A missing column is an error, columns
+    beside the seven are dropped. Null indexes and self-loops give no row."""
+    missing = set(EDGE_SCHEMA.names) - set(edges.columns)
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
     swap = F.col("src_expanded_idx") > F.col("dst_expanded_idx")
-    have = lambda c: F.col(c) if c in edges.columns else F.lit(None)
     picked = {
         "src_expanded_idx": F.least("src_expanded_idx", "dst_expanded_idx"),
         "dst_expanded_idx": F.greatest("src_expanded_idx", "dst_expanded_idx"),
-        "src": F.when(swap, have("dst")).otherwise(have("src")),
-        "dst": F.when(swap, have("src")).otherwise(have("dst")),
-        "edge_weight": F.col("edge_weight"),
-        "edge_source": have("edge_source"),
-        "edge_type": have("edge_type"),
+        "src": F.when(swap, F.col("dst")).otherwise(F.col("src")),
+        "dst": F.when(swap, F.col("src")).otherwise(F.col("dst")),
+        "edge_weight": F.when(~F.isnan(F.col("edge_weight").cast("double")), F.col("edge_weight")),
+        "edge_source": F.col("edge_source"),
+        "edge_type": F.col("edge_type"),
     }
     rows = edges.where("src_expanded_idx is not null and dst_expanded_idx is not null and src_expanded_idx <> dst_expanded_idx")
     return rows.select(*(picked[f.name].cast(f.dataType).alias(f.name) for f in EDGE_SCHEMA))
@@ -242,12 +244,15 @@ def centrality(edges: DataFrame, vectors: DataFrame, graph: str = "g", base: flo
     original works through an edge list has no part here.
     """
     from plexora.functions.scalar import dot
+    from plexora.operators.stats import quantiles
 
     n = vectors.groupBy(graph).agg(F.count(F.lit(1)).alias("n"))
     a = vectors.select(graph, F.col("node").alias("u"), F.col("vec").alias("hu"))
     b = vectors.select(graph, F.col("node").alias("v"), F.col("vec").alias("hv"))
     sim = edges.select(graph, "u", "v").join(a, [graph, "u"]).join(b, [graph, "v"]).select(graph, "u", "v", F.abs(dot("hu", "hv")).alias("sim"))
-    per = sim.groupBy(graph).agg(F.count(F.lit(1)).alias("e"), F.max("sim").alias("top"), F.percentile("sim", 0.5).alias("mid")).join(n, graph)
+    sim = materialize(sim, "similarities")
+    mid = quantiles(sim, "sim", [0.5], [graph]).select(graph, F.get("q", F.lit(0)).alias("mid"))
+    per = sim.groupBy(graph).agg(F.count(F.lit(1)).alias("e"), F.max("sim").alias("top")).join(n, graph).join(mid, graph, "left")
     pairs = F.greatest(F.floor(F.col("n") * (F.col("n") - 1) / 2), F.lit(1))
     cut = F.lit(base) * (1 + 2 * F.col("e") / pairs)
     per = per.select(graph, F.when(cut > F.col("top"), F.col("mid")).otherwise(cut).alias("cut"))
@@ -273,9 +278,10 @@ def fd_histogram(df: DataFrame, value: str, group: str, most: int = 1000) -> Dat
     """``(group, bin, lower, upper, n)``: equal bins by the rule of Freedman and
     Diaconis with linear quartiles; one bin where all values are equal. The last
     bin is closed above; empty bins have ``n`` 0."""
-    per = df.where(finite(value)).groupBy(group).agg(
-        F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n_"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q")
-    )
+    from plexora.operators.stats import quantiles
+
+    per = df.where(finite(value)).groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n_"))
+    per = per.join(quantiles(df, value, [0.25, 0.75], [group]), group)
     iqr = F.get("q", F.lit(1)) - F.get("q", F.lit(0))
     span = F.col("hi") - F.col("lo")
     width = F.when(iqr > 0, 2 * iqr / F.pow("n_", F.lit(1 / 3))).otherwise(span)

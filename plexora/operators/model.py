@@ -124,16 +124,21 @@ def balanced_weights(history: Sequence[Sequence[float]], momentum: float = 0.9,
     return w
 
 
+def overlays(long: DataFrame, plan: DataFrame) -> DataFrame:
+    """``(obs, target, step, value)``: what each planned ``(feat, step, value)``
+    overwrites in every sample that has the feature. The sweep without copies of
+    the samples: what it leaves alone is read from ``long``."""
+    p = plan.select(F.col("feat").alias("target"), "step", F.col("value").alias("new_"))
+    return long.select("obs", F.col("feat").alias("target")).join(small_side(p), "target").select("obs", "target", "step", F.col("new_").alias("value"))
+
+
 def perturbed(long: DataFrame, plan: DataFrame) -> DataFrame:
     """``(obs, feat, value, target, step)``: for every planned ``(feat, step,
-    value)`` each sample once more, with that feature overwritten. The result is
-    the sweep itself, samples times plan; the plan is broadcast after a count."""
-    p = small_side(plan.select(F.col("feat").alias("target"), "step", F.col("value").alias("new_")))
+    value)`` each sample that has the feature once more, with it overwritten. The
+    result is the sweep itself, samples times plan; samples travel as one row
+    each and open up behind the join with their :func:`overlays`."""
     rows = long.groupBy("obs").agg(F.collect_list(F.struct("feat", "value")).alias("x_"))
-    # a sample's row meets the plan as a list, then opens up
-    steps = p.groupBy().agg(F.collect_list(F.struct("target", "step", "new_")).alias("p_"))
-    each = rows.join(F.broadcast(steps)).select("obs", "x_", F.explode("p_").alias("p"))
-    cell = each.select("obs", F.col("p.target").alias("target"), F.col("p.step").alias("step"), F.col("p.new_").alias("new_"), F.explode("x_").alias("x"))
+    cell = overlays(long, plan).withColumnRenamed("value", "new_").join(rows, "obs").select("obs", "target", "step", "new_", F.explode("x_").alias("x"))
     value = F.when(F.col("x.feat") == F.col("target"), F.col("new_")).otherwise(F.col("x.value"))
     return cell.select("obs", F.col("x.feat").alias("feat"), value.alias("value"), "target", "step")
 

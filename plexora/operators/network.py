@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plexora.functions.scalar import cosine, delta_sign, norm
 from plexora.operators.edges import endpoints
 from plexora.operators.pairwise import nearest_rows
+from plexora.operators.stats import quantiles
 from plexora.session import materialize, small_side
 
 
@@ -40,14 +41,16 @@ def delta_network(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def delta_summary(delta: DataFrame) -> DataFrame:
     """One row of edge counts, mean, population deviation, median and signs."""
-    return delta.agg(
+    delta = materialize(delta.select("delta_w"), "delta")
+    one = delta.agg(
         F.count(F.lit(1)).alias("n_edges"),
         F.avg("delta_w").alias("mean"),
         F.stddev_pop("delta_w").alias("std"),
-        F.percentile("delta_w", 0.5).alias("median"),
         F.avg((F.col("delta_w") > 0).cast("double")).alias("positive_fraction"),
         F.avg((F.col("delta_w") < 0).cast("double")).alias("negative_fraction"),
     )
+    mid = quantiles(delta, "delta_w", [0.5]).select(F.get("q", F.lit(0)).alias("median"))
+    return one.join(F.broadcast(mid), how="left").select("n_edges", "mean", "std", "median", "positive_fraction", "negative_fraction")
 
 
 def gene_table(before: DataFrame, after: DataFrame, names: DataFrame) -> DataFrame:
@@ -77,29 +80,6 @@ def load_edges(df: DataFrame) -> DataFrame:
     return ok.where("strength > 0")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """``(node, module)``: deterministic communities. Every node takes the label
-    with the largest strength among its neighbours and itself (the smaller label
-    among equals) for at most ``rounds`` rounds, until no label changes. It
-    stands for modularity optimisers, whose random order cannot be matched.
-    """
-    sides = materialize(endpoints(edges, "w").select("node", "other", F.abs("w").alias("s")), "sides")
-    top = sides.groupBy("node").agg(F.max("s").alias("s"))
-    # a node's own vote as strong as its strongest edge keeps pairs from swapping labels
-    own = materialize(top.select("node", F.col("node").alias("other"), "s"), "own")
-    votes = materialize(sides.union(own), "votes")
-    cur = materialize(top.select("node", F.col("node").alias("module")), "labels")
-    for _ in range(rounds):
-        seen = votes.join(cur.withColumnRenamed("node", "other"), "other").groupBy("node", "module").agg(F.sum("s").alias("s"))
-        new = materialize(seen.groupBy("node").agg(F.min_by("module", F.struct(-F.col("s"), F.col("module"))).alias("module")), "labels")
-        moved = new.join(cur.withColumnRenamed("module", "old_"), "node").where("module <> old_")
-        stop = moved.isEmpty()
-        cur = new
-        if stop:
-            break
-    return cur
-
-
 def normalized_modules(modules: DataFrame, least: int) -> DataFrame:
     """``(node, module_id)``: modules below ``least`` nodes joined to the largest,
     named M01, M02... by size; one M01 where none is large enough. Sizes are
@@ -137,11 +117,11 @@ def hubs(edges: DataFrame, modules: DataFrame, fraction: float = 0.1, least: int
 def module_summary(edges: DataFrame, modules: DataFrame, types: DataFrame, ranked: DataFrame, top: int = 10) -> DataFrame:
     """One row per module: nodes, inner edges, density, weights, changes, old, new
     and unknown nodes and the names of its first ``top`` hubs."""
-    inner = module_edges(edges, modules)
+    inner = materialize(module_edges(edges, modules), "inner")
+    mid = quantiles(inner.withColumn("a_", F.abs("w")), "a_", [0.5], ["module_id"]).select("module_id", F.get("q", F.lit(0)).alias("median_abs_w"))
     e = inner.groupBy("module_id").agg(
         F.count(F.lit(1)).alias("n_edges"),
         F.avg(F.abs("w")).alias("mean_abs_w"),
-        F.percentile(F.abs("w"), 0.5).alias("median_abs_w"),
         F.avg("w").alias("mean_w"),
         F.avg("delta_w").alias("mean_delta"),
         F.avg((F.col("delta_w") > 0).cast("double")).alias("positive_fraction"),
@@ -154,7 +134,7 @@ def module_summary(edges: DataFrame, modules: DataFrame, types: DataFrame, ranke
     )
     h = ranked.where(F.col("rank") <= top).groupBy("module_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda r: r["node"].cast("string")), ";").alias("top_hubs"))
     pairs = F.col("n_nodes") * (F.col("n_nodes") - 1) / 2
-    out = n.join(e, "module_id", "left").join(h, "module_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+    out = n.join(e, "module_id", "left").join(mid, "module_id", "left").join(h, "module_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
     return out.withColumn("density", F.when(pairs > 0, F.col("n_edges") / pairs).otherwise(F.lit(0.0)))
 
 

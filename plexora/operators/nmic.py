@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from plexora.session import materialize
 
-#: Features of a block, at most; a task compares two blocks.
-BLOCK = 32
+#: Bytes of a block of vectors, at most; a task holds and compares two blocks.
+BLOCK_BYTES = 128 << 20
 #: Pairs of blocks for each core, at least, where there are features enough.
-TASKS = 4
+TASKS = 2
+#: Values that one step of a task bins at once.
+STEP = 1 << 18
 
 
 def feature_vectors(long: DataFrame) -> DataFrame:
@@ -84,22 +86,55 @@ def _first_parts(x: np.ndarray, order: np.ndarray, spans: Sequence[tuple[int, in
     return out
 
 
-def nmic(y: np.ndarray, order: np.ndarray, parts: list, spans: Sequence[tuple[int, int]], terms: np.ndarray) -> float:
-    """The highest information of a pair over the windows, ordered by the first
-    feature, and the full range; unusable bins count as 0."""
-    ys = y[order]
-    best = 0.0 if not spans else -np.inf
-    for (a, b), first in zip([*spans, (0, len(ys))], parts):
+def _many_bins(cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`bin_ids` of every row of a matrix: ``(usable rows, ids, bins)``."""
+    n = cut.shape[1]
+    mid, upper = _places(n)
+    part = np.partition(cut, sorted({0, mid, upper, n - 1}), axis=1)
+    low = part[:, 0]
+    width = 2.0 * (part[:, upper] - part[:, mid]) / np.cbrt(float(n))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        k = np.ceil((part[:, n - 1] - low) / width)
+        good = np.flatnonzero((width > 0) & (k >= 3) & (k <= n))
+    ids = np.floor((cut[good] - low[good, None]) / width[good, None] + 0.5).astype(np.int64) - 1
+    return good, np.maximum(ids, 0, out=ids), k[good].astype(np.int64)
+
+
+def nmic_many(ys: np.ndarray, parts: list, spans: Sequence[tuple[int, int]], terms: np.ndarray) -> np.ndarray:
+    """The highest information of one feature with each row of ``ys`` over the
+    windows and the full range; ``ys`` and the parts of :func:`_first_parts` are
+    in the order of that feature. Unusable bins count as 0."""
+    best = np.full(len(ys), 0.0 if not spans else -np.inf)
+    for (a, b), first in zip([*spans, (0, ys.shape[1])], parts):
         if first is None:
-            best = max(best, 0.0)
+            np.maximum(best, 0.0, out=best)
             continue
-        cut = ys[a:b]
-        mid, upper = _places(len(cut))
-        second = bin_ids(cut, np.partition(cut, (0, mid, upper, len(cut) - 1)))
-        best = max(best, 0.0 if second is None else _mi(first[0], first[1], second, terms))
+        (ids, k1), mass = first
+        n = b - a
+        step = max(1, STEP // n)
+        for at in range(0, len(ys), step):
+            good, second, k2 = _many_bins(ys[at : at + step, a:b])
+            got = np.zeros(min(step, len(ys) - at))
+            if len(good) and n >= 10_000_000:
+                got[good] = [_mi((ids, k1), mass, (x, int(k)), terms) for x, k in zip(second, k2)]
+            elif len(good):
+                # every row's table of counts behind the other in one array
+                size = k1 * k2
+                start = np.cumsum(size) - size
+                joint = np.bincount((start[:, None] + ids[None, :] * k2[:, None] + second).ravel(), minlength=int(size.sum()))
+                first2 = np.cumsum(k2) - k2
+                own = np.bincount((first2[:, None] + second).ravel(), minlength=int(k2.sum()))
+                info = (np.add.reduceat(terms[joint], start) - mass - np.add.reduceat(terms[own], first2)) / n + np.log2(n)
+                got[good] = info / np.log2(np.sqrt(k1 * k2.astype(float)))
+            np.maximum(best[at : at + step], got, out=best[at : at + step])
     return best
 
 
+def nmic(y: np.ndarray, order: np.ndarray, parts: list, spans: Sequence[tuple[int, int]], terms: np.ndarray) -> float:
+    """:func:`nmic_many` of a single pair."""
+    return float(nmic_many(y[order][None, :], parts, spans, terms)[0])
+
+
 def _pearson(a: np.ndarray, b: np.ndarray) -> float:
     da, db = a - a.mean(), b - b.mean()
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -117,15 +152,20 @@ def similar(x: np.ndarray, y: np.ndarray, order: np.ndarray, spans: Sequence[tup
     return bool((not np.isnan(top) and top > least) or (not np.isnan(top) and full > least))
 
 
-def _blocked(vectors: DataFrame, count: int, block: int) -> DataFrame:
-    """Every vector once for each pair of blocks that its own block is part of.
+def _blocks(count: int, width: int, cores: int, block: int | None) -> int:
+    """Into how many blocks ``count`` vectors of ``width`` values are parted: as
+    few as their bytes allow, since every vector is copied once for each block,
+    but enough for all cores."""
+    size = block or max(1, BLOCK_BYTES // (8 * max(width, 1)))
+    return max(1, -(-count // size), min(count, math.isqrt(2 * TASKS * cores) + 1))
 
-    There are enough blocks for all cores. The pairs are spread over a fixed
-    number of partitions: adaptive execution would join them by their bytes,
-    while it is the comparisons that take the time.
+
+def _blocked(vectors: DataFrame, k: int) -> DataFrame:
+    """Every vector once for each of the ``k`` blocks, as part of a pair of blocks.
+
+    The pairs are spread over a fixed number of partitions: adaptive execution
+    would join them by their bytes, while it is the comparisons that take the time.
     """
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    k = max(1, -(-count // block), min(count, math.isqrt(2 * TASKS * cores) + 1))
     own = F.pmod(F.xxhash64("feat"), F.lit(k)).cast("int")
     rows = vectors.select("feat", "vec", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("other"))
     out = rows.select("feat", "vec", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
@@ -136,38 +176,51 @@ def _pair_task(spans: list[tuple[int, int]], mode: str, least: float) -> Callabl
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("feat", ignore_index=True)
         bi, bj = int(pdf["bi"][0]), int(pdf["bj"][0])
-        names, own = list(pdf["feat"]), pdf["own"].to_numpy()
-        x = [np.asarray(v, float) for v in pdf["vec"]]
-        terms = _entropy_terms(max(map(len, x), default=0))
-        out = []
+        names, own = pdf["feat"].to_numpy(), pdf["own"].to_numpy()
+        lengths = {len(v) for v in pdf["vec"]}
+        if len(lengths) > 1:
+            raise ValueError("every observation needs a value of every feature")
+        x = np.vstack(pdf["vec"].to_numpy()).astype(float)
+        terms = _entropy_terms(x.shape[1])
+        src, dst, w = [], [], []
         for i in range(len(x)):
-            todo = [j for j in range(i + 1, len(x)) if bi == bj or own[i] != own[j]]
-            if not todo:
+            todo = np.flatnonzero((np.arange(len(x)) > i) & ((bi == bj) | (own != own[i])))
+            if not len(todo):
                 continue
             order = np.argsort(x[i], kind="stable")
-            parts = _first_parts(x[i], order, spans, terms) if mode == "nmic" else None
-            for j in todo:
-                if mode == "nmic":
-                    out.append((names[i], names[j], nmic(x[j], order, parts, spans, terms)))
-                elif similar(x[i], x[j], order, spans, least):
-                    out.append((names[i], names[j], 1.0))
-        return pd.DataFrame(out, columns=["src", "dst", "w"])
+            if mode == "nmic":
+                parts = _first_parts(x[i], order, spans, terms)
+                # rows of second features, some at a time, in the order of the first
+                step = max(1, 4 * STEP // x.shape[1])
+                got = np.concatenate([nmic_many(x[todo[a : a + step]][:, order], parts, spans, terms) for a in range(0, len(todo), step)])
+            else:
+                todo = np.array([j for j in todo if similar(x[i], x[j], order, spans, least)], np.int64)
+                got = np.ones(len(todo))
+            src.append(np.repeat(names[i : i + 1], len(todo)))
+            dst.append(names[todo])
+            w.append(got)
+        if not src:
+            return pd.DataFrame({"src": names[:0], "dst": names[:0], "w": np.zeros(0)})
+        return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "w": np.concatenate(w)})
 
     return work
 
 
-def all_pairs(long: DataFrame, spans: Sequence[tuple[int, int]], mode: str = "nmic", least: float = 0.95, block: int = BLOCK) -> DataFrame:
+def all_pairs(long: DataFrame, spans: Sequence[tuple[int, int]], mode: str = "nmic", least: float = 0.95, block: int | None = None) -> DataFrame:
     """``(src, dst, w)`` over all feature pairs ``src < dst``.
 
     ``mode`` ``nmic`` gives the information of every pair, ``similar`` only the
     pairs whose correlation exceeds ``least``, with ``w`` 1. Every observation
-    needs a value of every feature. Vectors meet in pairs of blocks, so no task
-    holds more than two blocks and nothing is broadcast; the number of tasks
-    grows with the square of the features, as the work does.
+    needs a value of every feature. Vectors meet in pairs of blocks of at most
+    :data:`BLOCK_BYTES` (or ``block`` features), so no task holds more than two
+    blocks, a vector is copied once for each block, and nothing is broadcast; the
+    number of tasks grows with the square of the features, as the work does.
     """
     kind = dict(long.dtypes)["feat"]
     vectors = materialize(feature_vectors(long), "vectors")
-    blocked = _blocked(vectors, vectors.count(), block)
+    head = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocked = _blocked(vectors, _blocks(head["n"], head["width"] or 0, cores, block))
     task = _pair_task([(int(a), int(b)) for a, b in spans], mode, least)
     return blocked.groupBy("bi", "bj").applyInPandas(task, f"src {kind}, dst {kind}, w double")
 

@@ -8,6 +8,7 @@ approximate and lives elsewhere.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -15,12 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1_024
+#: Rows of a block, at most; every row is copied once for each block.
+BLOCK = 4_096
 
 
 def blockwise(points: DataFrame, key: str, task: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
     """``task(asking, answering)`` for every pair of blocks of the rows."""
-    k = max(1, -(-points.count() // block))
+    n = points.count()
+    # blocks enough for all cores, but not of a few rows
+    k = max(1, -(-n // block), min(-(-n // 256), math.isqrt(points.sparkSession.sparkContext.defaultParallelism) + 1))
     own = F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     cols = [F.col(c).alias(c) for c in points.columns]

@@ -14,6 +14,8 @@ METADATA = ("batch", "sample", "donor", "condition", "tissue", "n_genes", "n_cou
 OBS_NAMES = ("obs_names", "obs_name", "barcode", "cell_id", "index")
 CLASS_NAMES = ("celltype", "cell_type", "label", "annotation")
 BATCH_NAMES = ("batch", "orig.ident", "Orig.ident")
+#: Columns that a table may get, and features of a vocabulary that is broadcast as one row.
+MAX_COLUMNS, MAX_VOCABULARY = 10_000, 1_000_000
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = (*OBS_NAMES, *METADATA)) -> list[str]:
@@ -53,7 +55,10 @@ def to_wide(long: DataFrame, features: Sequence[str]) -> DataFrame:
 def aligned(long: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(obs, feat, value)`` with every vocabulary feature for every observation,
     0 where the matrix lacks it; other features are dropped. The grid is the
-    result asked for: observations times vocabulary."""
+    result asked for: observations times vocabulary. A vocabulary of more than
+    :data:`MAX_VOCABULARY` features, which each row carries, is an error."""
+    if vocabulary.limit(MAX_VOCABULARY + 1).count() > MAX_VOCABULARY:
+        raise ValueError(f"more than {MAX_VOCABULARY} features")
     have = long.join(vocabulary.select("feat"), "feat", "left_semi").select("obs", "feat", "value")
     obs = long.select("obs").distinct()
     names = vocabulary.agg(F.array_sort(F.collect_set("feat")).alias("f_"))
@@ -82,9 +87,12 @@ def require_coverage(long: DataFrame, vocabulary: DataFrame, least: float = 0.80
 
 def one_hot(labels: DataFrame, obs: str, label: str, classes: Sequence[str] | None = None, unknown: bool = True) -> DataFrame:
     """``(obs, ct_<class>...)`` of 0 and 1 in order of the class, ``ct_unknown``
-    of zeros last if asked for; one row per observation."""
+    of zeros last if asked for; one row per observation. More than
+    :data:`MAX_COLUMNS` classes are an error: columns are part of a plan."""
     if classes is None:
-        classes = [r[0] for r in labels.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).collect()]
+        classes = [r[0] for r in labels.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).limit(MAX_COLUMNS + 1).collect()]
+        if len(classes) > MAX_COLUMNS:
+            raise ValueError(f"more than {MAX_COLUMNS} classes")
     wide = labels.groupBy(F.col(obs).alias("obs")).agg(*(F.max(F.coalesce((F.col(label) == c).cast("byte"), F.lit(0).cast("byte"))).alias(f"ct_{c}") for c in classes))
     return wide.withColumn("ct_unknown", F.lit(0).cast("byte")) if unknown else wide
 
@@ -115,8 +123,11 @@ def densified(sparse: DataFrame, features: DataFrame) -> DataFrame:
 def unique_names(df: DataFrame, name: str, order: str, out: str = "unique_name") -> DataFrame:
     """Repeated names made unique by ``_1``, ``_2``... in order of ``order``; the
     first keeps its name."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    return df.withColumn("n_", n).withColumn(out, F.when(F.col("n_") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.col("n_").cast("string")))).drop("n_")
+    from plexora.operators.running import running
+
+    keyed = df.withColumn("k_", F.struct(name)).withColumn("one_", F.lit(1).cast("long"))  # as a struct, a null name is a key
+    n = running(keyed, ["k_"], [order], {"n_": (F.sum, "one_")}).select(*df.columns, "n_")
+    return n.withColumn(out, F.when(F.col("n_") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.col("n_").cast("string")))).drop("n_")
 
 
 def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexora.functions.scalar import finite
-from plexora.operators.running import running
-from plexora.session import small_side
+from plexora.operators.running import largest, running
+from plexora.session import materialize, small_side
 
 QUANTILES = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
@@ -42,16 +42,12 @@ def windowed_cv(long: DataFrame, spans: Sequence[tuple[int, int]]) -> DataFrame:
     plus one row per window and feature, whatever the window lengths. The last
     window is the full range even where ``spans`` is empty.
     """
-    by = Window.partitionBy("feat")
-    line = by.orderBy("value", "obs").rowsBetween(Window.unboundedPreceding, 0)
+    known = long.where(F.col("value").isNotNull()).select("feat", "obs", F.col("value").cast("double").alias("value"))
+    per = materialize(known.groupBy("feat").agg(F.avg("value").alias("mu"), F.count(F.lit(1)).alias("n")), "moments")
     c = F.col("value") - F.col("mu")
-    ranked = (
-        long.where(F.col("value").isNotNull())
-        .withColumn("mu", F.avg("value").over(by))
-        .withColumn("n", F.count(F.lit(1)).over(by))
-        .withColumn("r", F.row_number().over(by.orderBy("value", "obs")))
-        .select("feat", "mu", "n", "r", F.sum(c).over(line).alias("s1"), F.sum(c * c).over(line).alias("s2"))
-    )
+    terms = known.join(small_side(per), "feat").select("feat", "obs", "value", "mu", "n", F.lit(1).cast("long").alias("one"), c.alias("c"), (c * c).alias("cc"))
+    sums = {"r": (F.sum, "one"), "s1": (F.sum, "c"), "s2": (F.sum, "cc")}
+    ranked = running(terms, ["feat"], ["value", "obs"], sums, True, largest(per)).select("feat", "mu", "n", "r", "s1", "s2")
     full = ranked.where("r = n").select("feat", "mu", F.col("n").alias("k"), "s1", "s2", F.lit(0.01).alias("floor"))
     if spans:
         ends = sorted({e for _, e in spans} | {s for s, _ in spans if s})
@@ -99,8 +95,7 @@ def summary(df: DataFrame, value: str, exact: bool = True) -> DataFrame:
     """One row: counts, moments, zero and negative share and nine quantiles of
     the finite values. ``exact=False`` takes mergeable sketches for quantiles."""
     v = F.when(finite(value), F.col(value).cast("double"))
-    q = F.percentile(v, F.array(*map(F.lit, QUANTILES))) if exact else F.percentile_approx(v, list(QUANTILES), 10_000)
-    return df.agg(
+    one = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.count(v).alias("n_finite"),
         F.min(v).alias("min"),
@@ -109,8 +104,9 @@ def summary(df: DataFrame, value: str, exact: bool = True) -> DataFrame:
         F.max(v).alias("max"),
         F.avg((v == 0).cast("double")).alias("zero_ratio"),
         F.avg((v < 0).cast("double")).alias("negative_ratio"),
-        q.alias("quantiles"),
+        *([] if exact else [F.percentile_approx(v, list(QUANTILES), 10_000).alias("quantiles")]),
     )
+    return one.join(F.broadcast(quantiles(df, value, QUANTILES).withColumnRenamed("q", "quantiles")), how="left") if exact else one
 
 
 def perturbation_plan(long: DataFrame, points: int) -> DataFrame:
@@ -166,6 +162,48 @@ def class_weights(onehot: DataFrame, columns: Sequence[str]) -> DataFrame:
     return inv.select("class", "n", (F.col("inv") / F.sum("inv").over(every)).alias("weight"))
 
 
+def quantiles(df: DataFrame, value: str, qs: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
+    """``(group..., q)``: the exact ``qs``-quantiles (linear) of the finite values
+    of every group as an array; a null is a group like others, an empty table
+    gives no row.
+
+    Values are counted per distinct value (combined on the map side), and running
+    counts over range partitions give the order statistics: unlike an exact
+    percentile aggregate, no task holds the values of a group.
+    """
+    # as a struct, a null group is a key like others
+    key = F.struct(*group) if group else F.lit(0)
+    v = df.where(finite(value)).select(key.alias("g_"), F.col(value).cast("double").alias("v"))
+    per = materialize(v.groupBy("g_", "v").agg(F.count(F.lit(1)).alias("k")), "distinct")
+    n = per.groupBy("g_").agg(F.sum("k").alias("n"))
+    seen = running(per, ["g_"], ["v"], {"before": (F.sum, "k")}).join(small_side(n), "g_")
+    place = [(F.col("n") - 1) * F.lit(float(q)) for q in qs]
+    at = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("k")), F.col("v")))
+    ends = [(at(F.floor(p)), at(F.least(F.floor(p) + 1, F.col("n") - 1))) for p in place]
+    got = seen.groupBy("g_", "n").agg(F.array(*(a for a, _ in ends)).alias("a"), F.array(*(b for _, b in ends)).alias("b"))
+    rest = F.array(*(p - F.floor(p) for p in place))
+    out = F.zip_with(F.zip_with("a", "b", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), rest, lambda e, r: F.when(e["a"] == e["b"], e["a"]).otherwise((1 - r) * e["a"] + r * e["b"]))
+    return got.select(*(["g_.*"] if group else []), out.alias("q"))
+
+
+def first_rows(df: DataFrame, value: str, ties: Sequence[str], k: int) -> DataFrame:
+    """The ``k`` rows of highest ``value``, by ``ties`` among equals, nulls last.
+
+    A mergeable sketch leaves out what lies below the cut for certain; running
+    counts over range partitions number the rest, so no task gathers ``k`` rows.
+    """
+    n = df.agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("known")).first()
+    if k >= n["n"]:
+        return df
+    rows = df
+    if k <= n["known"] and k > 0:
+        share = 1 - k / n["known"] - 2e-4 - 2 / n["known"]
+        if share > 0:
+            rows = df.where(F.col(value) >= df.agg(F.percentile_approx(value, share, 10_000)).first()[0])
+    ranked = running(rows.withColumn("one_", F.lit(1).cast("long")), [], [F.desc(value), *ties], {"r_": (F.sum, "one_")})
+    return ranked.where(F.col("r_") < k).select(*df.columns)
+
+
 def linear_quantile(df: DataFrame, value: str, q: float, rank_error: float = 1e-4) -> float | None:
     """The exact ``q``-quantile with linear interpolation of the finite values,
     null of none.
@@ -212,10 +250,10 @@ def quantile_filter(df: DataFrame, value: str, threshold: float | None = None, q
     good = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     if threshold is not None:
         return good.where(F.col(value) >= threshold)
-    cut = F.percentile(F.col(value).cast("double"), q).alias("cut_")
     if not group:
         return good.where(F.col(value) >= F.lit(linear_quantile(good, value, q)))
-    return good.join(small_side(good.groupBy(*group).agg(cut)), list(group)).where(F.col(value) >= F.col("cut_")).drop("cut_")
+    cuts = quantiles(good, value, [q], group).select(*group, F.get("q", F.lit(0)).alias("cut_"))
+    return good.join(small_side(cuts), list(group)).where(F.col(value) >= F.col("cut_")).drop("cut_")
 
 
 def strongest_of(df: DataFrame, value: str, thresholds: Sequence[float | None], q: float | None) -> DataFrame:
@@ -240,8 +278,9 @@ def upper_bins(long: DataFrame) -> DataFrame:
     measure over a feature's whole range. The width is twice the distance from
     the median to the upper quartile (as order statistics) over the cube root of
     the count; ``n_bins`` is null where it is below 3 or above the count."""
-    by = Window.partitionBy("feat")
-    r = long.where(finite("value")).withColumn("r_", F.row_number().over(by.orderBy("value", "obs"))).withColumn("n_", F.count(F.lit(1)).over(by))
+    v = long.where(finite("value")).select("feat", "obs", "value", F.lit(1).cast("long").alias("one"))
+    per = materialize(v.groupBy("feat").agg(F.count(F.lit(1)).alias("n")), "counts")
+    r = running(v, ["feat"], ["value", "obs"], {"r_": (F.sum, "one")}, True, largest(per)).join(small_side(per.withColumnRenamed("n", "n_")), "feat")
     at = lambda q: F.max(F.when(F.col("r_") == F.floor(F.col("n_") * F.lit(q) + 0.5), F.col("value")))
     s = r.groupBy("feat").agg(F.max("n_").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), (at(0.75) - at(0.5)).alias("d"))
     s = s.withColumn("width", 2 * F.col("d") / F.cbrt(F.col("n").cast("double")))

@@ -40,7 +40,7 @@ def guide_graph(
     every feature. Features keep their own names or numbers throughout."""
     n = long.select("obs").distinct().count()
     spans = ratio_windows(n, least, most, grow, slide)
-    chosen = stats.top_features(stats.windowed_cv(long, spans), n_features, cv)
+    chosen = materialize(stats.top_features(stats.windowed_cv(long, spans), n_features, cv), "chosen")
     kept = materialize(long.join(small_side(chosen.select("feat")), "feat").select("obs", "feat", "value"), "kept")
     similar = None
     if check_similar:

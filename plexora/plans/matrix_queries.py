@@ -384,12 +384,29 @@ def nm06(spark: SparkSession, d: str) -> DataFrame:
     return _r(nmic.all_pairs(long, _spans(long)), 6, "w")
 
 
-@REG.add("nm01_guide_graph")
+@REG.add("nm01_guide_graph", f"""
+WITH {EMB}, t AS (SELECT count(DISTINCT obs) AS n FROM emb),
+z AS (SELECT n, unnest(generate_series(CAST(floor(0.33 * n + 0.5) AS BIGINT), CAST(floor(0.98 * n + 0.5) AS BIGINT), CAST(floor(0.07 * n + 0.5) AS BIGINT))) AS size FROM t),
+wi AS (SELECT s, s + size AS e FROM (SELECT n, size, unnest(generate_series(0, n - size - 1, CAST(floor(0.07 * n + 0.5) AS BIGINT))) AS s FROM z) WHERE s + size <= n - 1 UNION ALL SELECT 0, n FROM t),
+r AS MATERIALIZED (SELECT feat, obs, value, row_number() OVER (PARTITION BY feat ORDER BY value, obs) - 1 AS r FROM emb),
+fx AS MATERIALIZED (SELECT feat AS i, s, e, e - s AS n, min(value) AS x0, max(value) AS x1, max(value) FILTER (WHERE r - s + 1 = floor(0.5 * (e - s) + 0.5)) AS xm, max(value) FILTER (WHERE r - s + 1 = floor(0.75 * (e - s) + 0.5)) AS xu
+  FROM r JOIN wi ON r >= s AND r < e GROUP BY ALL),
+fb AS MATERIALIZED (SELECT *, ceil((x1 - x0) / wx) AS bx FROM (SELECT *, 2 * (xu - xm) / cbrt(CAST(n AS DOUBLE)) AS wx FROM fx) WHERE wx > 0),
+ys AS MATERIALIZED (SELECT a.feat AS i, b.feat AS j, list(b.value ORDER BY a.r) AS y FROM r a JOIN emb b ON b.obs = a.obs AND b.feat > a.feat GROUP BY ALL),
+xs AS MATERIALIZED (SELECT feat AS i, list(value ORDER BY r) AS x FROM r GROUP BY ALL),
+p AS (SELECT ys.i, j, s, e, n, x0, wx, bx, y[s + 1 : e] AS y, list_sort(y[s + 1 : e]) AS o FROM ys JOIN fb ON fb.i = ys.i WHERE bx BETWEEN 3 AND n),
+q AS (SELECT *, o[1] AS y0, 2 * (o[CAST(floor(0.75 * n + 0.5) AS BIGINT)] - o[CAST(floor(0.5 * n + 0.5) AS BIGINT)]) / cbrt(CAST(n AS DOUBLE)) AS wy, o[n] - o[1] AS h FROM p),
+g AS (SELECT i, j, s, e, n, x0, wx, bx, y, y0, wy, ceil(h / wy) AS by_ FROM q WHERE wy > 0 AND ceil(h / wy) BETWEEN 3 AND n),
+u AS (SELECT g.i, j, s, e, n, bx, by_, x0, wx, y0, wy, unnest(xs.x[s + 1 : e]) AS x, unnest(y) AS y FROM g JOIN xs ON xs.i = g.i),
+c AS (SELECT i, j, s, e, n, bx, by_, greatest(floor((x - x0) / wx + 0.5) - 1, 0) AS cx, greatest(floor((y - y0) / wy + 0.5) - 1, 0) AS cy, count(*) AS k FROM u GROUP BY ALL),
+m AS (SELECT *, sum(k) OVER (PARTITION BY i, j, s, e, cx) AS kx, sum(k) OVER (PARTITION BY i, j, s, e, cy) AS ky FROM c),
+v AS (SELECT i, j, s, e, sum(k / n * log2(k * n / (kx * ky))) / any_value(log2(sqrt(bx * by_))) AS v FROM m GROUP BY i, j, s, e)
+SELECT i AS src, j AS dst, round(max(v), 6) AS w FROM v GROUP BY i, j HAVING max(v) > 0.05""")
 def nm01(spark: SparkSession, d: str) -> DataFrame:
     """The whole guide-graph plan with its default windows and filters."""
     from plexora.plans.guide_graph import guide_graph
 
-    return guide_graph(embedding_long(spark, d), n_features=5000, pcc=0.95, mi=0.05).edges
+    return _r(guide_graph(embedding_long(spark, d), n_features=5000, pcc=0.95, mi=0.05).edges, 6, "w")
 
 
 _CORR = f"""WITH {EMB}, p AS (SELECT a.feat AS src, b.feat AS dst, corr(a.value, b.value) AS r FROM emb a JOIN emb b ON a.obs = b.obs AND a.feat < b.feat GROUP BY ALL)"""

@@ -90,11 +90,19 @@ def _row_bytes(df: DataFrame) -> int:
     return 16 + sum(640 if k.startswith(("array", "map", "struct")) else width.get(k, 8) for _, k in df.dtypes)
 
 
+#: Steps of a plan that are worked out once and written before they are counted.
+_COSTLY = ("Aggregate", "Join", "Window", "Distinct", "Deduplicate", "Sort", "Generate", "InPandas", "Intersect", "Except")
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows and, by their
     width, :data:`BROADCAST_BYTES`. The count stops one row beyond. A larger side
     is returned unmarked: the join is then shuffled, and adaptive execution
-    splits skewed partitions."""
+    splits skewed partitions. A side that is more than a scan is written first,
+    so that it is worked out once and not for the count and again for the join."""
     rows = min(rows, BROADCAST_BYTES // _row_bytes(df))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    if any(step in plan for step in _COSTLY):
+        df = materialize(df, "side")
     n = df.limit(rows + 1).count()
     return F.broadcast(df) if n <= rows else df

@@ -26,7 +26,9 @@ def norm(x):
     if isinstance(x, float):
         if math.isnan(x):
             return "nan"
-        return 0.0 if x == 0 else float(f"{x:.9g}")
+        if x == 0:  # a negative zero is another value to whoever compares bytes
+            return "-0" if math.copysign(1.0, x) < 0 else 0.0
+        return float(f"{x:.9g}")
     if hasattr(x, "tolist"):
         x = x.tolist()
     if isinstance(x, (list, tuple)):

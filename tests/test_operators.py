@@ -12,6 +12,8 @@ from plexora.functions import scalar as S
 from plexora.operators import edges as E
 from plexora.operators import greedy, intervals, metrics, model, network, nmic, reshape, samples, sampling, stats
 from plexora.operators.components import min_labels
+from plexora.operators.running import running
+from plexora.operators.communities import LOCAL_EDGES, communities, louvain, modularity
 from plexora.operators.batch_mixing import chi2_tail, neighbourhood_chi2
 from plexora.operators.windows import ratio_windows, windows
 
@@ -182,11 +184,13 @@ def test_vocabulary_must_be_dense(spark):
 
 
 def test_canonical_table(spark):
-    e = spark.createDataFrame([(3, 1, "x", "y", 0.5), (1, 1, "a", "a", 1.0), (None, 1, "a", "a", 1.0)], "src_expanded_idx long, dst_expanded_idx long, src string, dst string, edge_weight double")
+    data = [(3, 1, "x", "y", 0.5), (1, 1, "a", "a", 1.0), (None, 1, "a", "a", 1.0), (4, 5, None, "b", float("nan"))]
+    e = spark.createDataFrame([(*r, "s", None, 7) for r in data], "src_expanded_idx long, dst_expanded_idx long, src string, dst string, edge_weight double, edge_source string, edge_type string, w int")
     t = E.canonical_table(e)
-    assert t.schema == E.EDGE_SCHEMA and rows(t) == [(1, 3, "y", "x", 0.5, None, None)]
-    with pytest.raises(ValueError):
-        E.canonical_table(e.drop("edge_weight"))
+    assert t.schema == E.EDGE_SCHEMA and rows(t) == [(1, 3, "y", "x", 0.5, "s", None), (4, 5, None, "b", None, "s", None)]
+    for c in ("edge_weight", "src", "edge_type"):
+        with pytest.raises(ValueError):
+            E.canonical_table(e.drop(c))
 
 
 def test_k_hop_goes_against_the_edges(spark):
@@ -398,10 +402,104 @@ def test_hub_count(spark):
     assert [r["node"] for r in h.where("is_hub").collect()] == [0] and h.count() == 7
 
 
-def test_label_propagation_finds_cliques(spark):
+def test_communities_joint_moves_and_dirt(spark):
+    rng = np.random.RandomState(2)
+    part = np.repeat(np.arange(6), 20)
+    data = [(int(i), int(j), float(rng.rand() + 0.1)) for i in range(120) for j in range(i + 1, 120) if rng.rand() < (0.5 if part[i] == part[j] else 0.03)]
+    dirt = [(5, 5, 3.0), (1, None, 1.0), (2, 3, None), (2, 4, float("nan")), (2, 9, 0.0)]
+    e = spark.createDataFrame(data + dirt, "u long, v long, w double")
+    whole = communities(e)
+    truth = spark.createDataFrame([(i, int(p)) for i, p in enumerate(part)], "node long, module int")
+    ok = e.where("u <> v and w > 0 and not isnan(w)")
+    q = lambda m: modularity(ok, m, 1.3).first()[0]
+    assert whole.count() == 120 and q(whole) >= q(truth) - 1e-9
+    joint = communities(e, local_edges=100)
+    assert joint.count() == 120 and q(joint) > 0.9 * q(truth)
+    assert communities(e.limit(0)).collect() == [] and LOCAL_EDGES > 0
+
+
+def test_modularity_by_hand(spark):
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 3, -1.0), (1, 3, 1.0), (3, 4, 1.0)], "u long, v long, w double")
+    m = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "node long, module string")
+    assert math.isclose(modularity(e, m).first()[0], 3 / 4 - (7 / 8) ** 2 - (1 / 8) ** 2)
+    nodes, module = louvain(np.array([1, 2, 1, 3]), np.array([2, 3, 3, 4]), np.ones(4), 1.0)
+    assert list(nodes) == [1, 2, 3, 4] and len(set(module[:2])) == 1
+
+
+def test_sample_graphs_by_joins_equal_those_by_lookup(spark, monkeypatch):
+    rng = np.random.RandomState(8)
+    long = spark.createDataFrame([(int(o), f"f{f}", float(rng.randint(0, 3))) for o in range(40) for f in range(12) if rng.rand() < 0.6] + [(99, "zz", 1.0), (98, "f1", None), (97, "f1", float("nan"))], "obs long, feat string, value double")
+    edges = spark.createDataFrame([(f"f{i}", f"f{j}", float(rng.rand())) for i in range(12) for j in range(i + 1, 12) if rng.rand() < 0.4], "u string, v string, w double")
+    cv = spark.createDataFrame([(f"f{i}", float(rng.randint(0, 4))) for i in range(10)], "feat string, cv double")
+    one = [rows(x) for x in samples.active_subgraphs(long, edges, cv, 0.5, 2, 3)]
+    ind = rows(samples.induced(samples.top_absolute(long, 5), edges))
+    monkeypatch.setattr(samples, "MAX_EDGES", 3)
+    two = [rows(x) for x in samples.active_subgraphs(long, edges, cv, 0.5, 2, 3)]
+    assert one == two and len(one[1]) > 20
+    assert ind == rows(samples.induced(samples.top_absolute(long, 5), edges))
+    none = samples.active_subgraphs(long.limit(0), edges, cv, 0.5, 2, 3)
+    assert [x.collect() for x in none] == [[], []]
+
+
+def test_budgets():
+    assert samples.budgets(1200, 0) == (1200, 0, 0)
+    assert samples.budgets(10, 2, 0.5, 0.5) == (2, 3, 3)
+    assert samples.budgets(10, 0, 0.4, 0.4, 6) == (6, 0, 4)
+    assert samples.budgets(1, 5, 0.3, 0.3) == (1, 0, 0)
+
+
+def test_select_nodes_cases(spark):
+    data = [(1, "a", 5.0), (1, "b", -4.0), (1, "c", 0.0), (1, "d", 1.0), (2, "a", 0.0), (2, "b", 0.0), (3, "a", None), (1, "e", float("nan"))]
+    long = spark.createDataFrame(data, "obs long, feat string, value double")
+    got = rows(samples.select_nodes(long, 2), "obs", "feat", "part", "idx")
+    assert got == [(1, "a", "base", 0), (1, "b", "base", 1), (2, "a", "base", 0), (2, "b", "base", 1)]
+    got = rows(samples.select_nodes(long, 3, forced=["c", "nowhere"]), "obs", "feat", "part")
+    assert got == [(1, "a", "base"), (1, "b", "fill"), (1, "c", "forced"), (2, "a", "base"), (2, "b", "fill")]
+    assert {r["feat"] for r in samples.select_nodes(long, 4, policy="all").where("obs = 1").collect()} == {"a", "b", "c", "d"}
+    with pytest.raises(ValueError):
+        samples.select_nodes(long, 2, policy="none")
+
+
+def test_quantiles_and_first_rows(spark):
+    rng = np.random.RandomState(4)
+    data = [(int(rng.randint(3)) if rng.rand() < 0.9 else None, float(rng.randint(0, 40)), i) for i in range(3000)] + [(7, None, 1), (7, float("nan"), 1)]
+    df = spark.createDataFrame(data, "g long, x double, i long")
+    for r in stats.quantiles(df, "x", [0.0, 0.25, 0.333, 1.0], ["g"]).collect():
+        want = np.quantile([x for g, x, _ in data if g == r["g"] and x is not None and x == x], [0.0, 0.25, 0.333, 1.0])
+        assert np.allclose(r["q"], want, atol=1e-12)
+    assert stats.quantiles(df, "x", [0.5], ["g"]).count() == 4 and stats.quantiles(df.limit(0), "x", [0.5]).collect() == []
+    clean = [(x, i) for _, x, i in data[:3000]]
+    for k in (1, 100, 2999, 3000, 5000):
+        got = {(r["x"], r["i"]) for r in stats.first_rows(df.limit(3000).where("x is not null"), "x", ["i"], k).collect()}
+        assert got == set(sorted(clean, key=lambda r: (-r[0], r[1]))[:k])
+    assert len(stats.first_rows(df, "x", ["i"], 3001).collect()) == 3001
+
+
+def test_running_plain_windows_equal_range_sort(spark):
+    rng = np.random.RandomState(6)
+    df = spark.createDataFrame([(int(rng.randint(4)), int(rng.randint(50)), i, float(rng.rand())) for i in range(2000)], "g long, o long, i long, x double")
+    values = {"s": (F.sum, "x"), "m": (F.max, "x")}
+    for inc in (True, False):
+        a = rows(running(df, ["g"], ["o", "i"], values, inclusive=inc), "g", "i", "m")
+        assert a == rows(running(df, ["g"], ["o", "i"], values, inclusive=inc, most=2000), "g", "i", "m")
+
+
+def test_adjusted_information_by_brute_force(spark):
+    rng = np.random.RandomState(9)
+    t, p = rng.randint(4, size=90), rng.randint(5, size=90)
+    p[:40] = t[:40]
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(t, p)], "truth int, pred int").groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n"))
+    info = lambda a, b: sum(c / 90 * math.log(c * 90 / (np.sum(a == x) * np.sum(b == y))) for x in set(a) for y in set(b) if (c := int(np.sum((a == x) & (b == y)))))
+    chance = np.mean([info(t, rng.permutation(p)) for _ in range(4000)])
+    want = (info(t, p) - chance) / ((info(t, t) + info(p, p)) / 2 - chance)
+    assert abs(metrics.adjusted_mutual_information(df) - want) < 0.003
+    assert metrics.adjusted_mutual_information(df.limit(0)) == 1.0
+
+
+def test_communities_find_cliques(spark):
     cl = [(b + i, b + j, 1.0) for b in (0, 10) for i in range(5) for j in range(i + 1, 5)]
     e = spark.createDataFrame([*cl, (4, 10, 0.1)], "u long, v long, w double")
-    got = dict(rows(network.label_propagation(e), "node", "module"))
+    got = dict(rows(communities(e), "node", "module"))
     assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(10, 15)}) == 1 and got[0] != got[10]
 
 
