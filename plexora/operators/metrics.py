@@ -11,18 +11,25 @@ from pyspark.sql import functions as F
 
 from plexora.functions.scalar import finite, pearson
 from plexora.operators.pairwise import label_distances
-from plexora.operators.running import largest, running
+from plexora.operators.running import LOCAL_ROWS, largest, running
 from plexora.session import materialize, small_side
 
 
-def with_rank(df: DataFrame, value: str, group: list[str], out: str) -> DataFrame:
-    """``df`` with the average rank (from 0) of ``value`` within ``group``."""
+def with_rank(df: DataFrame, value: str, group: list[str], out: str, most: int | None = None) -> DataFrame:
+    """``df`` with the average rank (from 0) of ``value`` within ``group``; nulls
+    come first. ``most`` is the size of the largest group where it is known.
+
+    Groups that a task may go through in order are ranked by windows; with a
+    larger one, ranks come from running counts of the distinct values."""
     key = F.struct(*group) if group else F.lit(0)  # as a struct, a null is a group like others
-    per = materialize(df.groupBy(key.alias("g_"), F.col(value).alias("v_")).agg(F.count(F.lit(1)).alias("k_")), "ties")
-    most = largest(per.groupBy("g_").agg(F.count(F.lit(1)).alias("n")))
-    rank = running(per, ["g_"], ["v_"], {"b_": (F.sum, "k_")}, most=most).select("g_", "v_", (F.col("b_") + (F.col("k_") - 1) / 2).alias(out))
-    at = key.eqNullSafe(F.col("g_")) & F.col(value).eqNullSafe(F.col("v_"))
-    return df.join(rank, at).drop("g_", "v_")
+    most = largest(df.groupBy(key.alias("g_")).agg(F.count(F.lit(1)).alias("n"))) if most is None else most
+    if group and most <= LOCAL_ROWS:
+        low = F.rank().over(Window.partitionBy(*group).orderBy(value)) - 1
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
+        return df.withColumn(out, low + (ties - 1) / 2)
+    per = df.groupBy(key.alias("g_"), F.col(value).alias("v_")).agg(F.count(F.lit(1)).alias("k_"))
+    rank = running(per, ["g_"], ["v_"], {"b_": (F.sum, "k_")}).select("g_", "v_", (F.col("b_") + (F.col("k_") - 1) / 2).alias(out))
+    return df.join(rank, key.eqNullSafe(F.col("g_")) & F.col(value).eqNullSafe(F.col("v_"))).drop("g_", "v_")
 
 
 def guarded_corr(x: str, y: str) -> Column:
@@ -50,7 +57,8 @@ def jsd(pairs: DataFrame, axis: str) -> DataFrame:
 
 def spearman(pairs: DataFrame, axis: str) -> DataFrame:
     """``(axis, spearman)``: correlation of average ranks; NaN for constants."""
-    r = with_rank(with_rank(pairs, "t", [axis], "rt_"), "p", [axis], "rp_")
+    most = largest(pairs.groupBy(axis).agg(F.count(F.lit(1)).alias("n")))
+    r = with_rank(with_rank(pairs, "t", [axis], "rt_", most), "p", [axis], "rp_", most)
     return r.groupBy(axis).agg(guarded_corr("rt_", "rp_").alias("spearman"))
 
 

@@ -48,10 +48,12 @@ def windowed_cv(long: DataFrame, spans: Sequence[tuple[int, int]]) -> DataFrame:
     terms = known.join(small_side(per), "feat").select("feat", "obs", "value", "mu", "n", F.lit(1).cast("long").alias("one"), c.alias("c"), (c * c).alias("cc"))
     sums = {"r": (F.sum, "one"), "s1": (F.sum, "c"), "s2": (F.sum, "cc")}
     ranked = running(terms, ["feat"], ["value", "obs"], sums, True, largest(per)).select("feat", "mu", "n", "r", "s1", "s2")
+    # the ends of the windows and of the range: the only rows that count
+    ends = sorted({e for _, e in spans} | {s for s, _ in spans if s})
+    ranked = materialize(ranked.where((F.col("r") == F.col("n")) | F.col("r").isin(*ends)) if ends else ranked.where("r = n"), "marks")
     full = ranked.where("r = n").select("feat", "mu", F.col("n").alias("k"), "s1", "s2", F.lit(0.01).alias("floor"))
     if spans:
-        ends = sorted({e for _, e in spans} | {s for s, _ in spans if s})
-        marks = ranked.where(F.col("r").isin(*ends))
+        marks = ranked
         wins = F.broadcast(long.sparkSession.createDataFrame([(int(s), int(e)) for s, e in spans], "s int, e int"))
         hi = marks.join(wins, F.col("r") == F.col("e")).select("feat", "mu", "s", "e", "s1", "s2")
         lo = marks.select("feat", F.col("r").alias("s"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))

@@ -601,3 +601,12 @@ def test_pairwise_blocks_agree(spark):
     q = p.withColumnRenamed("node", "obs")
     a, b = (rows(pairwise.label_distances(q, n).withColumn("d", F.round("d", 9))) for n in (1000, 7))
     assert a == b and len(a) == 120
+
+
+def test_ranks_by_counts_equal_those_by_windows(spark, monkeypatch):
+    rng = np.random.RandomState(3)
+    data = [(int(g) if g else None, float(x) if x < 6 else None, i) for i, (g, x) in enumerate(zip(rng.randint(4, size=400), rng.randint(7, size=400)))]
+    df = spark.createDataFrame(data, "g long, x double, i long")
+    a = rows(metrics.with_rank(df, "x", ["g"], "r"), "i", "r")
+    monkeypatch.setattr(metrics, "LOCAL_ROWS", 5)
+    assert a == rows(metrics.with_rank(df, "x", ["g"], "r"), "i", "r")
