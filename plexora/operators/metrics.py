@@ -271,6 +271,37 @@ def silhouette(points: DataFrame) -> DataFrame:
 DIRECTIONS = (("loss", False), ("mse", False), ("mae", False), ("rmse", False), ("jsd", False), ("f1", True), ("acc", True), ("auc", True), ("auroc", True), ("auprc", True), ("pearson", True), ("spearman", True), ("r2", True), ("precision", True), ("recall", True))
 
 
+# The names under which metrics are shown.
+TITLES = {
+    "jsd": "1 - JSD",
+    "mae": "1 - MAE",
+    "mse": "1 - MSE",
+    "pcc": "PCC",
+    "spearman": "Spearman",
+    "weighted_recall": "Recall (weighted)",
+    "weighted_precision": "Precision (weighted)",
+    "weighted_f1": "F1 Score (weighted)",
+    "macro_f1": "F1 Score (macro)",
+    "micro_f1": "F1 Score (micro)",
+    "auprc": "AUPRC",
+    "auroc": "AUROC",
+    "accuracy": "ACC",
+    "kbet": "kBET",
+    "asw": "ASW",
+    "ari": "ARI",
+    "nmi": "NMI",
+    "ami": "AMI",
+}
+
+
+def titled(df: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
+    """``df`` with ``title`` and ``shown``: the name under which a metric is shown
+    (its own name without one) and its value, 1 less the value of an error."""
+    names = F.create_map(*(F.lit(x) for pair in TITLES.items() for x in pair))
+    title = F.coalesce(F.try_element_at(names, F.col(metric)), F.col(metric))
+    return df.withColumn("title", title).withColumn("shown", F.when(F.startswith("title", F.lit("1 - ")), 1 - F.col(value)).otherwise(F.col(value)))
+
+
 def metric_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     """``(metric, before, after, delta, improved)`` of metrics in both tables,
     ``improved`` by the first fragment that the name contains, null without one."""

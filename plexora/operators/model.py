@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexora.functions.scalar import col, focal_loss
-from plexora.session import small_side
+from plexora.session import materialize, small_side
 
 
 def matvec(rows: Sequence[Sequence[float]], vec: Column | str) -> Column:
@@ -151,6 +151,41 @@ def class_head(old: DataFrame, classes: DataFrame) -> DataFrame:
     return j.select("class", F.coalesce("weights", F.array_repeat(F.lit(0.0), F.col("n_"))).alias("weights"), F.col("weights").isNotNull().alias("found"))
 
 
+def extended_embeddings(old: DataFrame, names: DataFrame, seed: int = 1) -> DataFrame:
+    """``(name, idx, vec, old_or_new)``: an embedding table ``(name, idx, vec)``
+    with unseen names appended in alphabetical order. Old rows stay as they are;
+    new ones are uniform within the root of 6 over rows and width, by md5 draws,
+    so they repeat."""
+    from plexora.operators.edges import expand_vocabulary
+
+    head = old.agg(F.max(F.size("vec")).alias("d")).first()
+    every = materialize(expand_vocabulary(old.select("name", "idx"), names), "vocabulary")
+    bound = (6.0 / (every.count() + (head["d"] or 0) or 1)) ** 0.5
+    bits = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "name", i.cast("string"))), 1, 13), 16, 10).cast("double")
+    fresh = F.transform(F.sequence(F.lit(1), F.lit(int(head["d"] or 1))), lambda i: ((bits(i) + 0.5) / float(1 << 52) * 2 - 1) * bound)
+    return every.join(old.select("name", "vec"), "name", "left").select("name", "idx", F.coalesce("vec", fresh).alias("vec"), "old_or_new")
+
+
+def highly_variable(long: DataFrame, n: int, bins: int = 20) -> DataFrame:
+    """``(feat, mean, dispersion, score)`` of the ``n`` features that vary most for
+    their mean, the smaller feature first among equals.
+
+    Dispersion is the logarithm of sample variance over mean; the score is its
+    distance from the mean of its bin (of equal width over ``log1p`` of the mean)
+    in sample deviations of the bin. A feature alone in its bin scores 1; one
+    without spread or of mean 0 is left out. One row per feature is ranked.
+    """
+    per = long.groupBy("feat").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v")).where("m > 0 and v > 0")
+    per = per.select("feat", F.log1p("m").alias("mean"), F.ln(F.col("v") / F.col("m")).alias("dispersion"))
+    span = per.agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    per = per.join(F.broadcast(span)).withColumn("b", F.when(width > 0, F.greatest(F.ceil((F.col("mean") - F.col("lo")) / width) - 1, F.lit(0))).otherwise(F.lit(0)))
+    per = materialize(per.select("feat", "mean", "dispersion", "b"), "dispersions")
+    of_bin = per.groupBy("b").agg(F.avg("dispersion").alias("a_"), F.stddev_samp("dispersion").alias("s_"))
+    score = F.when(F.col("s_").isNull(), F.lit(1.0)).otherwise(F.try_divide(F.col("dispersion") - F.col("a_"), F.col("s_")))
+    return per.join(small_side(of_bin), "b").select("feat", "mean", "dispersion", F.coalesce(score, F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "feat").limit(n)
+
+
 def batches(rows: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     """``rows`` with ``batch``: consecutive runs of ``size`` in a total order."""
     from plexora.operators.reshape import numbered

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,6 +143,13 @@ def numbered(df: DataFrame, order: Sequence[str], out: str = "row") -> DataFrame
     return running(df.withColumn("one_", F.lit(1).cast("long")), [], order, {out: (F.sum, "one_")}).drop("one_")
 
 
+def from_columns(spark: SparkSession, columns: dict[str, Sequence], schema: str | None = None) -> DataFrame:
+    """A table of columns given as lists; lists of other lengths are an error."""
+    if len({len(v) for v in columns.values()}) > 1:
+        raise ValueError("columns of other lengths")
+    return spark.createDataFrame(list(zip(*columns.values())), schema or list(columns))
+
+
 def stacked(dfs: Sequence[DataFrame], diagonal: bool = False) -> DataFrame:
     """Rows of several tables by column name; with ``diagonal`` the union of their
     columns, null where a table lacks one."""

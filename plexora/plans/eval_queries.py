@@ -446,9 +446,13 @@ def mt11(spark: SparkSession, d: str) -> DataFrame:
     return _r(M.clustering_scores(_confusion(spark, d)), 9, "ari", "nmi")
 
 
-@REG.add("mt11_ami")
+@REG.add("mt11_ami", _SCORES + """, k AS (SELECT truth, pred, CAST(count(*) AS DOUBLE) AS n FROM bs GROUP BY ALL), a AS (SELECT truth, sum(n) AS a FROM k GROUP BY ALL), b AS (SELECT pred, sum(n) AS b FROM k GROUP BY ALL), t AS (SELECT sum(n) AS t FROM k),
+h AS (SELECT (SELECT sum(-a / t * ln(a / t)) FROM a, t) AS ha, (SELECT sum(-b / t * ln(b / t)) FROM b, t) AS hb, (SELECT sum(n / t * ln(n * t / (a * b))) FROM k JOIN a USING (truth) JOIN b USING (pred), t) AS mi),
+c AS (SELECT a, b, t, CAST(unnest(generate_series(CAST(greatest(1, a + b - t) AS BIGINT), CAST(least(a, b) AS BIGINT))) AS DOUBLE) AS n FROM a, b, t),
+e AS (SELECT sum(n / t * ln(t * n / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(n + 1) - lgamma(a - n + 1) - lgamma(b - n + 1) - lgamma(t - a - b + n + 1))) AS e FROM c)
+SELECT round((mi - e) / ((ha + hb) / 2 - e), 6) AS ami FROM h, e""")
 def mt11_ami(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(M.adjusted_mutual_information(_confusion(spark, d)),)], "ami double")
+    return _r(spark.createDataFrame([(M.adjusted_mutual_information(_confusion(spark, d)),)], "ami double"), 6, "ami")
 
 
 @REG.add("mt12_silhouette", """
@@ -459,12 +463,17 @@ def mt12(spark: SparkSession, d: str) -> DataFrame:
     return _r(M.silhouette(table(spark, d, "embeddings", "vec_id", "label", "embedding").toDF("obs", "label", "vec")), 6, "silhouette", "silhouette_label")
 
 
-@REG.add("mt13_batch_mixing")
+# 16.918977604620448 is the upper 5 % point of chi-squared with nine degrees of freedom: ten labels
+@REG.add("mt13_batch_mixing", """
+WITH v AS (SELECT vec_id AS i, label AS b, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), p AS (SELECT a.i, b.b, list_distance(a.x, b.x) AS d, b.i AS j FROM v a JOIN v b ON a.i <> b.i),
+k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 20), o AS (SELECT i, b, count(*) AS o FROM k GROUP BY ALL),
+e AS (SELECT b, count(*) / (SELECT count(*) FROM v) * 20 AS e FROM v GROUP BY b), s AS (SELECT i, sum(o * o / e) - sum(o) AS x FROM o JOIN e USING (b) GROUP BY i)
+SELECT count(*) AS n, count(*) FILTER (WHERE x > 16.918977604620448) AS rejected, round(avg(CASE WHEN x <= 16.918977604620448 THEN 1.0 ELSE 0.0 END), 9) AS acceptance FROM s""")
 def mt13(spark: SparkSession, d: str) -> DataFrame:
     from plexora.operators.batch_mixing import neighbourhood_chi2
 
     e = table(spark, d, "embeddings", "vec_id", "label", "embedding").toDF("node", "batch", "vec")
-    return neighbourhood_chi2(e, 20)
+    return _r(neighbourhood_chi2(e, 20), 9, "acceptance")
 
 
 @REG.add("mt14_regression_scores", """
@@ -513,6 +522,83 @@ def md01(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("vec", F.transform("vec", lambda x: F.round(x, 6)))
 
 
+# id vector and projected value fused, one attention layer, the norm
+_NODES = """
+WITH f AS (SELECT n_regionkey AS g, n_nationkey AS node, n_nationkey / 10 AS e1, 0.3 * n_nationkey / 5 + 0.1 AS p FROM nation),
+n AS (SELECT g, node, [0.4 * e1 + 0.1 + 0.2 * p + 0.05, -0.3 * e1 + 0.2 + 0.5 * p] AS h FROM f),
+l AS (SELECT a.g, a.node AS u, b.node AS v, a.h AS hu, b.h AS hv FROM n a JOIN n b ON a.g = b.g AND (b.node - a.node = 0 OR b.node - a.node = 5 AND a.g < 4)),
+e AS (SELECT *, 0.5 * hv[1] + 0.1 * hv[2] + 0.3 * hu[1] AS a1, -0.2 * hv[1] + 0.4 * hv[2] + 0.1 * hu[1] + 0.2 * hu[2] AS a2, 0.3 * hu[1] AS r1, 0.1 * hu[1] + 0.2 * hu[2] AS r2 FROM l),
+s AS (SELECT *, 1.0 * greatest(a1, 0.2 * a1) + -0.5 * greatest(a2, 0.2 * a2) AS z FROM e),
+y0 AS (SELECT g, v AS node, sum(exp(z) * r1) / sum(exp(z)) AS y1, sum(exp(z) * r2) / sum(exp(z)) AS y2 FROM s GROUP BY g, v),
+ln AS (SELECT DISTINCT a.g FROM n a JOIN n b ON a.g = b.g AND b.node - a.node = 5 WHERE a.g < 4),
+y AS (SELECT g, node, y1, y2 FROM y0 WHERE g IN (SELECT g FROM ln) UNION ALL SELECT g, node, h[1], h[2] FROM n WHERE g NOT IN (SELECT g FROM ln)),
+m AS (SELECT g, node, y1, y2, (y1 + y2) / 2 AS mu FROM y), q AS (SELECT *, sqrt((pow(y1 - mu, 2) + pow(y2 - mu, 2)) / 2 + 1e-5) AS sd FROM m),
+nv AS (SELECT g, node, (y1 - mu) / sd * 2 + 0.5 AS v1, (y2 - mu) / sd * 3 - 1 AS v2 FROM q)
+"""
+
+
+def _forward(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Node vectors and edges: the nations of a region as a graph, linked in steps
+    of five in all regions but the last."""
+    from plexora.operators.forward import Weights, node_vectors
+
+    n = table(spark, d, "nation", "n_regionkey", "n_nationkey")
+    nodes = materialize(n.select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("node"), (F.col("n_nationkey") / 5).alias("x")), "nodes")
+    ids = nodes.select("node", F.array(F.col("node") / 10, F.lit(1.0)).alias("vec"))
+    edges = nodes.select("g", F.col("node").alias("u")).where("g < 4").join(nodes.select("g", F.col("node").alias("v")), "g").where("v - u = 5")
+    fuse = [([[0.4, -0.3], [0.1, 0.2], [0.2, 0.5]], [0.05, 0.0])]
+    layer = ([[0.5, 0.1], [-0.2, 0.4]], [[0.3, 0.0], [0.1, 0.2]], [1.0, -0.5])
+    return node_vectors(nodes, edges, ids, Weights(([0.3], [0.1]), fuse, [layer], [2.0, 3.0], [0.5, -1.0])), edges
+
+
+@REG.add("md15_node_embeddings", _NODES + "SELECT g, node, [round(v1, 6), round(v2, 6)] AS vec FROM nv")
+def md15(spark: SparkSession, d: str) -> DataFrame:
+    return _forward(spark, d)[0].withColumn("vec", F.transform("vec", lambda x: F.round(x, 6)))
+
+
+@REG.add("md02_graph_vectors")
+def md02(spark: SparkSession, d: str) -> DataFrame:
+    from plexora.operators.forward import graph_vectors
+
+    vectors, edges = _forward(spark, d)
+    return graph_vectors(materialize(vectors, "vectors"), edges)
+
+
+@REG.add("md11_predictions", _NODES + """, gv AS (SELECT g, avg(v1) AS a, avg(v2) AS b FROM nv GROUP BY g)
+SELECT g, [round(a, 6), round(b, 6)] AS embedding, [round(a, 6), round(b, 6), round(a + b + 1, 6)] AS recon, [round(a, 6), round(0.5 * b, 6)] AS logits, CAST(CASE WHEN a >= 0.5 * b THEN 0 ELSE 1 END AS INTEGER) AS label FROM gv""")
+def md11(spark: SparkSession, d: str) -> DataFrame:
+    """Graph means through a decoder over a vocabulary of three and a head of two classes."""
+    from plexora.operators.forward import predictions
+
+    graphs = materialize(model.mean_pool(_forward(spark, d)[0]).select("g", "vec"), "graphs")
+    got = predictions(graphs, [([[1.0, 0.0, 1.0], [0.0, 1.0, 1.0]], [0.0, 0.0, 1.0])], [([[1.0, 0.0], [0.0, 0.5]], [0.0, 0.0])])
+    return got.withColumns({c: F.transform(c, lambda x: F.round(x, 6)) for c in ("embedding", "recon", "logits")})
+
+
+@REG.add("md10_extended_embeddings", """
+WITH o AS (SELECT n_name AS name, n_nationkey AS idx, [n_nationkey / 10, 0.5] AS vec FROM nation WHERE n_nationkey < 20), w AS (SELECT n_name AS name, 20 + row_number() OVER (ORDER BY n_name) - 1 AS idx FROM nation WHERE n_nationkey >= 20),
+b AS (SELECT name, idx, list_transform([1, 2], lambda i: round((((CAST(('0x' || substr(md5('1:' || name || ':' || i), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496) * 2 - 1) * sqrt(6.0 / 27), 9)) AS vec FROM w)
+SELECT name, CAST(idx AS BIGINT) AS idx, CAST(vec AS DOUBLE[]) AS vec, 'old' AS old_or_new FROM o UNION ALL SELECT name, idx, vec, 'new' FROM b""")
+def md10(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation", "n_name", "n_nationkey")
+    old = n.where("n_nationkey < 20").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("idx"), F.array(F.col("n_nationkey") / 10, F.lit(0.5)).alias("vec"))
+    return model.extended_embeddings(old, n.select(F.col("n_name").alias("name"))).withColumn("vec", F.transform("vec", lambda x: F.round(x, 9)))
+
+
+@REG.add("mt17_titles", "WITH t(metric, value) AS (VALUES ('jsd', 0.25), ('pcc', 0.5), ('ari', 0.75), ('other', 0.1)) SELECT metric, CAST(value AS DOUBLE) AS value, CASE metric WHEN 'jsd' THEN '1 - JSD' WHEN 'pcc' THEN 'PCC' WHEN 'ari' THEN 'ARI' ELSE metric END AS title, CAST(CASE metric WHEN 'jsd' THEN 0.75 ELSE value END AS DOUBLE) AS shown FROM t")
+def mt17(spark: SparkSession, d: str) -> DataFrame:
+    return M.titled(spark.createDataFrame([("jsd", 0.25), ("pcc", 0.5), ("ari", 0.75), ("other", 0.1)], "metric string, value double"))
+
+
+@REG.add("mt19_highly_variable", f"""
+WITH {SUPPLIER_BRAND}, p AS (SELECT feat, ln(1 + avg(value)) AS mean, ln(var_samp(value) / avg(value)) AS dispersion FROM sb GROUP BY feat HAVING avg(value) > 0 AND var_samp(value) > 0),
+b AS (SELECT *, greatest(ceil((mean - min(mean) OVER ()) / ((max(mean) OVER () - min(mean) OVER ()) / 20)) - 1, 0) AS b FROM p),
+s AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY b) = 1 THEN 1.0 ELSE (dispersion - avg(dispersion) OVER (PARTITION BY b)) / stddev_samp(dispersion) OVER (PARTITION BY b) END AS score FROM b)
+SELECT feat, round(mean, 9) AS mean, round(dispersion, 9) AS dispersion, round(score, 6) AS score FROM s ORDER BY s.score DESC, feat LIMIT 10""")
+def mt19_variable(spark: SparkSession, d: str) -> DataFrame:
+    return _r(_r(model.highly_variable(materialize(supplier_brand(spark, d), "long"), 10), 9, "mean", "dispersion"), 6, "score")
+
+
 @REG.add("md04_decoder", f"WITH {EMB}, p AS (SELECT obs, sum(CASE WHEN feat % 2 = 0 THEN value ELSE 0 END) AS a, sum(CASE WHEN feat % 2 = 1 THEN value ELSE 0 END) AS b FROM emb GROUP BY obs) SELECT obs, list_transform([a, b, a + b], lambda x: round(x, 6)) AS out FROM p")
 def md04(spark: SparkSession, d: str) -> DataFrame:
     """A linear decoder from every embedding to a vocabulary of three."""
@@ -530,7 +616,7 @@ def md06(spark: SparkSession, d: str) -> DataFrame:
 @REG.add("md12_perturbation_sweep", f"""
 WITH {SUPPLIER_BRAND}, s AS (SELECT feat, avg(value) AS m, coalesce(stddev_samp(value), 0) AS s, min(value) AS lo, max(value) AS hi FROM sb GROUP BY feat),
 p AS (SELECT feat AS target, CAST(k AS INTEGER) AS step, greatest(lo, m - 2 * s) + (least(hi, m + 2 * s) - greatest(lo, m - 2 * s)) * k / 2 AS v FROM s, range(3) t(k))
-SELECT target, step, count(*) AS n, round(sum(CASE WHEN sb.feat = target THEN v ELSE value END), 2) AS total FROM sb, p GROUP BY ALL""")
+SELECT target, step, count(*) AS n, round(sum(CASE WHEN sb.feat = target THEN v ELSE sb.value END), 2) AS total FROM sb h JOIN p ON h.feat = target JOIN sb ON sb.obs = h.obs GROUP BY ALL""")
 def md12(spark: SparkSession, d: str) -> DataFrame:
     """Totals of the whole sweep: every sample under every planned value."""
     long = materialize(supplier_brand(spark, d), "long")

@@ -333,6 +333,14 @@ def gr01_edges(spark: SparkSession, d: str) -> DataFrame:
     return _r(samples.active_subgraphs(*_brand_graph(spark, d), 0.9, 3, 2)[1], 9, "w")
 
 
+@REG.add("wn15_minimum_fill", f"""
+WITH {_BRANDS} SELECT obs, feat, value, CAST(row_number() OVER (PARTITION BY obs ORDER BY feat) - 1 AS INTEGER) AS idx FROM (
+  SELECT ob.*, row_number() OVER (PARTITION BY obs ORDER BY cv.cv DESC, ob.feat) AS r FROM ob JOIN cv USING (feat) WHERE abs(value) > 1e-6) WHERE r <= 3""")
+def wn15(spark: SparkSession, d: str) -> DataFrame:
+    """No edge is strong enough and no feature preset: the fill alone chooses."""
+    return samples.active_subgraphs(*_brand_graph(spark, d), 2.0, 0, 3)[0]
+
+
 @REG.add("gr02_heldout_samples", _SAMPLE.replace("lv AS (SELECT * FROM ob WHERE abs(value) > 1e-6)", "lv AS (SELECT ob.* FROM ob JOIN orders ON o_orderkey = obs WHERE abs(value) > 1e-6 AND o_orderstatus = 'F')") + "SELECT obs, count(*) AS n_nodes FROM nd GROUP BY obs")
 def gr02(spark: SparkSession, d: str) -> DataFrame:
     """Held-out samples (closed orders) with the edges and cv of all of them."""

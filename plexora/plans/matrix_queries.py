@@ -100,6 +100,11 @@ def rs04(spark: SparkSession, d: str) -> DataFrame:
     return nmic.feature_vectors(supplier_brand(spark, d))
 
 
+@REG.add("rs05_from_columns", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a', CAST(0.5 AS DOUBLE)), (2, NULL, 1.5), (3, 'c', NULL)) t(id, name, w)")
+def rs05(spark: SparkSession, d: str) -> DataFrame:
+    return reshape.from_columns(spark, {"id": [1, 2, 3], "name": ["a", None, "c"], "w": [0.5, 1.5, None]}, "id long, name string, w double")
+
+
 @REG.add("rs06_flattened", "SELECT p_brand, CAST(count(*) AS BIGINT) AS m_n, min(p_size) AS m_low, max(p_size) AS m_high FROM part GROUP BY p_brand")
 def rs06(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part", "p_brand", "p_size").groupBy("p_brand")

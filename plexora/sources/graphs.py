@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
 
 import numpy as np
 import pandas as pd
@@ -45,32 +46,41 @@ NPZ_KEYS = ("mi_values", "feat_pairs")
 
 def write_npz(edges: DataFrame, path: str, params: dict[str, float] | None = None, limit: int = 50_000_000) -> None:
     """Edges ``(src, dst, w)`` over integer ids as one NumPy archive, strongest
-    first. An archive is one file on the driver's machine, so the edges are
-    counted first and more than ``limit`` are refused."""
+    first, in any file system that Spark writes to. An archive passes through the
+    driver, so the edges are counted first and more than ``limit`` are refused."""
     n = edges.limit(limit + 1).count()
     if n > limit:
         raise ValueError(f"more than {limit} edges do not go into one archive")
     got = edges.orderBy(F.desc("w"), "src", "dst").toPandas()
     extra = {k: np.array([v], float) for k, v in (params or {}).items()}
-    np.savez_compressed(path, mi_values=got["w"].to_numpy(float), feat_pairs=got[["src", "dst"]].to_numpy(np.int64).reshape(-1, 2), **extra)
+    archive = io.BytesIO()
+    np.savez_compressed(archive, mi_values=got["w"].to_numpy(float), feat_pairs=got[["src", "dst"]].to_numpy(np.int64).reshape(-1, 2), **extra)
+    spark = edges.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path if path.endswith(".npz") else f"{path}.npz")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        whole = archive.getbuffer()
+        for i in range(0, len(whole), 8 << 20):
+            out.write(bytes(whole[i : i + (8 << 20)]))
+    finally:
+        out.close()
 
 
 def read_npz(spark: SparkSession, path: str, chunk: int = 1_000_000) -> DataFrame:
-    """``(npz_id, u, v, w)`` of all archives that a path or glob names, one task an
-    archive, in pieces. An archive without a required array is an error; pickled
+    """``(npz_id, u, v, w)`` of all archives that a path or glob names, each read
+    in one task, in pieces. An archive without a required array is an error; pickled
     content is refused."""
-    names = spark.read.format("binaryFile").load(path).select("path")
+    names = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def read(parts):  # noqa: ANN001, ANN202
         for p in parts:
-            for f in p["path"]:
-                local = f.removeprefix("file:")
-                with np.load(local, allow_pickle=False) as z:
+            for f, content in zip(p["path"], p["content"]):
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
                     missing = [k for k in NPZ_KEYS if k not in z.files]
                     if missing:
                         raise KeyError(f"{f} lacks {missing}")
                     w, pairs = z["mi_values"], z["feat_pairs"]
-                name = local.rpartition("/")[2].removesuffix(".npz")
+                name = f.rpartition("/")[2].removesuffix(".npz")
                 for i in range(0, len(w), chunk):
                     yield pd.DataFrame({"npz_id": name, "u": pairs[i : i + chunk, 0].astype("int64"), "v": pairs[i : i + chunk, 1].astype("int64"), "w": w[i : i + chunk].astype(float)})
 
@@ -80,16 +90,15 @@ def read_npz(spark: SparkSession, path: str, chunk: int = 1_000_000) -> DataFram
 def read_npz_matrix(spark: SparkSession, path: str) -> DataFrame:
     """``(npz_id, feat, vec)`` of an archive's ``processed_mat``, rows keyed by
     ``mat_feat_indices`` (or their place without it)."""
-    names = spark.read.format("binaryFile").load(path).select("path")
+    names = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def read(parts):  # noqa: ANN001, ANN202
         for p in parts:
-            for f in p["path"]:
-                local = f.removeprefix("file:")
-                with np.load(local, allow_pickle=False) as z:
+            for f, content in zip(p["path"], p["content"]):
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
                     m = z["processed_mat"]
                     ids = z["mat_feat_indices"] if "mat_feat_indices" in z.files else np.arange(len(m))
-                yield pd.DataFrame({"npz_id": local.rpartition("/")[2].removesuffix(".npz"), "feat": ids.astype("int64"), "vec": list(m.astype(float))})
+                yield pd.DataFrame({"npz_id": f.rpartition("/")[2].removesuffix(".npz"), "feat": ids.astype("int64"), "vec": list(m.astype(float))})
 
     return names.mapInPandas(read, "npz_id string, feat long, vec array<double>")
 

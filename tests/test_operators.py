@@ -454,7 +454,8 @@ def test_select_nodes_cases(spark):
     got = rows(samples.select_nodes(long, 2), "obs", "feat", "part", "idx")
     assert got == [(1, "a", "base", 0), (1, "b", "base", 1), (2, "a", "base", 0), (2, "b", "base", 1)]
     got = rows(samples.select_nodes(long, 3, forced=["c", "nowhere"]), "obs", "feat", "part")
-    assert got == [(1, "a", "base"), (1, "b", "fill"), (1, "c", "forced"), (2, "a", "base"), (2, "b", "fill")]
+    # two forced leave room for one; the sample that has neither is filled up to two
+    assert got == [(1, "a", "base"), (1, "c", "forced"), (2, "a", "base"), (2, "b", "fill")]
     assert {r["feat"] for r in samples.select_nodes(long, 4, policy="all").where("obs = 1").collect()} == {"a", "b", "c", "d"}
     with pytest.raises(ValueError):
         samples.select_nodes(long, 2, policy="none")
@@ -610,3 +611,62 @@ def test_ranks_by_counts_equal_those_by_windows(spark, monkeypatch):
     a = rows(metrics.with_rank(df, "x", ["g"], "r"), "i", "r")
     monkeypatch.setattr(metrics, "LOCAL_ROWS", 5)
     assert a == rows(metrics.with_rank(df, "x", ["g"], "r"), "i", "r")
+
+
+def test_forward_against_numpy(spark):
+    from plexora.operators.forward import Weights, graph_vectors, layer_norm, node_vectors, predictions
+
+    rng = np.random.RandomState(5)
+    ids = rng.randn(6, 3)
+    nodes = [(g, i, float(rng.rand())) for g in (1, 2, 3) for i in range(4 if g < 3 else 1)]
+    edges = [(1, 0, 1), (1, 1, 2), (1, 2, 0), (1, 3, 3), (3, 0, 5)]
+    fuse = [(rng.randn(5, 4), rng.randn(4)), (rng.randn(4, 3), rng.randn(3))]
+    left, right, score = rng.randn(3, 3), rng.randn(3, 3), rng.randn(3)
+    w = Weights((rng.randn(2).tolist(), [0.1, 0.2]), fuse, [(left.tolist(), right.tolist(), score.tolist())], [1.0, 2.0, 0.5], [0.0, 1.0, -1.0])
+
+    def norm(y):
+        return (y - y.mean()) / np.sqrt(y.var() + 1e-5) * np.array([1.0, 2.0, 0.5]) + np.array([0.0, 1.0, -1.0])
+
+    want = {}
+    for g in (1, 2, 3):
+        own = [(i, x) for h, i, x in nodes if h == g]
+        h = {}
+        for i, x in own:
+            z = np.concatenate([ids[i], x * np.array(w.project[0]) + np.array([0.1, 0.2])]) @ fuse[0][0] + fuse[0][1]
+            h[i] = (z / (1 + np.exp(-z))) @ fuse[1][0] + fuse[1][1]
+        links = [(u, v) for k, u, v in edges if k == g and u != v and u in h and v in h]
+        for i in h:
+            y = h[i]
+            if links:
+                src = [u for u, v in links if v == i] + [i]
+                e = np.array([(lambda a: score @ np.maximum(a, 0.2 * a))(left @ h[i] + right @ h[u]) for u in src])
+                a = np.exp(e - e.max())
+                y = sum(x * (right @ h[u]) for x, u in zip(a / a.sum(), src))
+            want[g, i] = norm(y)
+    n = spark.createDataFrame(nodes, "g int, node int, x double")
+    e = spark.createDataFrame(edges, "g int, u int, v int")
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(ids)], "node int, vec array<double>")
+    vectors = node_vectors(n, e, table, w)
+    got = {(r["g"], r["node"]): r["vec"] for r in vectors.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert {r["g"] for r in node_vectors(n, e, table, w, "skip").select("g").collect()} == {1}
+    graphs = graph_vectors(vectors, e.where("g = 1 and u <> v"))
+    per = {r["g"]: r["vec"] for r in graphs.collect()}
+    assert set(per) == {1, 2, 3} and per[2] == [0.0] * 3 and any(per[1])
+    out = predictions(graphs, [(np.eye(3), np.zeros(3))], [(-np.eye(3), np.zeros(3))]).where("g = 1").first()
+    assert np.allclose(out["recon"], per[1]) and out["label"] == int(np.argmin(per[1]))
+    assert spark.createDataFrame([(None,)], "v array<double>").select(layer_norm("v", [1.0], [0.0])).first()[0] is None
+
+
+def test_extended_embeddings_and_variable_features(spark):
+    old = spark.createDataFrame([("b", 0, [1.0, 2.0]), ("a", 1, [3.0, 4.0])], "name string, idx long, vec array<double>")
+    got = {r["name"]: r for r in model.extended_embeddings(old, spark.createDataFrame([("z",), ("c",), ("a",), (None,)], "name string")).collect()}
+    assert {k: r["idx"] for k, r in got.items()} == {"b": 0, "a": 1, "c": 2, "z": 3} and got["b"]["vec"] == [1.0, 2.0]
+    bound = math.sqrt(6 / (4 + 2))
+    assert all(len(got[k]["vec"]) == 2 and all(abs(x) <= bound for x in got[k]["vec"]) for k in "cz") and got["c"]["vec"] != got["z"]["vec"]
+    rng = np.random.RandomState(1)
+    long = spark.createDataFrame([(o, f"f{f}", float(rng.poisson(5) * (20 if f == 3 and o % 2 else 1))) for o in range(60) for f in range(12)] + [(0, "flat", 2.0), (1, "flat", 2.0)], "obs int, feat string, value double")
+    top = model.highly_variable(long, 3)
+    assert top.columns == ["feat", "mean", "dispersion", "score"] and "f3" in {r["feat"] for r in top.collect()} and "flat" not in {r["feat"] for r in model.highly_variable(long, 99).collect()}
+    with pytest.raises(ValueError):
+        reshape.from_columns(spark, {"a": [1], "b": [1, 2]})
