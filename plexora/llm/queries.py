@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexora.llm import cutoffs, encoding, mixing, neighbors, overlap, packing, splits, topn
+from plexora.llm import cutoffs, encoding, encoding_sql, mixing, neighbors, overlap, packing, splits, topn
 from plexora.plans.registry import Registry
 from plexora.session import materialize, table
 
@@ -90,6 +90,24 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@REG.add(
+    "p3_checks",
+    _TIED + """, z AS (SELECT max(n) AS top FROM (SELECT count(*) AS n FROM g GROUP BY grp))
+SELECT p.split, (SELECT count(*) FROM g) AS n_rows, (SELECT count(DISTINCT grp) FROM g) AS n_groups, CAST(0 AS BIGINT) AS n_parted, TRUE AS near_target FROM split_target p""",
+)
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What an assignment must fulfil: every row and group assigned, no group in
+    two splits, and every split within 1 % of all rows, or the largest group, of
+    its proportion."""
+    rows = materialize(_assigned(spark, d).select("group_", "split"), "assigned")
+    per = materialize(rows.groupBy("group_").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("k")), "groups")
+    head = per.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("k") != 1).alias("n_parted"), F.max("n").alias("top_"))
+    share = rows.groupBy("split").agg(F.count(F.lit(1)).alias("have_"))
+    out = table(spark, d, "split_target").join(share, "split", "left").join(F.broadcast(head))
+    near = F.abs(F.coalesce("have_", F.lit(0)) - F.col("proportion") * F.col("n_rows")) <= F.greatest(F.col("n_rows") * 0.01, F.col("top_"))
+    return out.select("split", "n_rows", "n_groups", "n_parted", near.alias("near_target"))
+
+
 # ---------------------------------------------------------------- problem 4
 
 _COSINE = """
@@ -207,6 +225,24 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text"))
 
 
+@REG.add(
+    "p7_checks",
+    """SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_tokens, CAST(ceil(strlen(text) / 4096) AS BIGINT) AS n_pieces, TRUE AS gapless, TRUE AS fits FROM documents WHERE strlen(text) > 0""",
+)
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per document what a packing must fulfil: all of its tokens once and without
+    gaps, no more pieces than needed, and no container of it overfull."""
+    packed = materialize(packing.pack(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text"), "packed")
+    full = packed.groupBy("box_").agg((F.sum("size_") <= 4096).alias("fits_"))
+    per = packed.join(full, "box_").groupBy(F.col("id_").alias("doc_id")).agg(
+        F.sum("size_").alias("n_tokens"),
+        F.count(F.lit(1)).alias("n_pieces"),
+        ((F.max(F.col("start_") + F.col("size_")) == F.sum("size_")) & (F.min("start_") == 0) & (F.count_distinct("start_") == F.count(F.lit(1)))).alias("gapless"),
+        F.min("fits_").alias("fits"),
+    )
+    return per
+
+
 # ---------------------------------------------------------------- problem 8
 
 _SOURCES = """
@@ -261,6 +297,29 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(mixing.mix(sizes, plan), plan)
 
 
+@REG.add("p8_checks", _SOURCES + "SELECT source, TRUE AS within_repeats, TRUE AS near_share, TRUE AS even FROM p WHERE tokens > 0 AND target_share > 0")
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per source with tokens what a mix must fulfil: no document used too often,
+    its share of the mix within one document of the target, and uses that differ
+    by one at most."""
+    sizes, plan = _mix(spark, d, whole=False)
+    mixed = materialize(mixing.mix(sizes, plan), "mix")
+    present = [p for p in plan if p.tokens and p.target > 0]
+    scale = sum(p.target for p in present) or 1.0
+    goal = spark.createDataFrame([(p.name, p.target / scale, p.repeats, p.docs) for p in present], "source string, goal_ double, cap_ int, docs_ long")
+    used = mixed.groupBy(F.col("source_").alias("source")).agg(F.sum(F.col("n_") * F.col("uses_")).alias("t_"), F.max("uses_").alias("hi_"), F.min("uses_").alias("lo_"), F.count(F.lit(1)).alias("c_"), F.max("n_").alias("top_"))
+    some = sizes.where("n_ > 0").groupBy(F.col("source_").alias("source")).agg(F.count(F.lit(1)).alias("full_"))
+    every = mixed.agg(F.sum(F.col("n_") * F.col("uses_")).alias("all_"), F.max("n_").alias("longest_"))
+    low = F.when(F.col("c_") < F.col("full_"), 0).otherwise(F.col("lo_"))
+    return goal.join(used, "source", "left").join(some, "source").join(F.broadcast(every)).select(
+        "source",
+        (F.coalesce("hi_", F.lit(0)) <= F.col("cap_")).alias("within_repeats"),
+        # every source may end one document early or late
+        (F.abs(F.coalesce("t_", F.lit(0)) - F.col("goal_") * F.col("all_")) <= F.col("longest_") * (1 + len(present))).alias("near_share"),
+        (F.coalesce("hi_", F.lit(0)) - F.coalesce(low, F.lit(0)) <= 1).alias("even"),
+    )
+
+
 @REG.add("p8_tempered_report")
 def p8_tempered_report(spark: SparkSession, d: str) -> DataFrame:
     """A mix as large as the corpus, tempered towards the targets as far as the repeats allow."""
@@ -271,7 +330,7 @@ def p8_tempered_report(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- problem 9
 
 
-@REG.add("p9_found")
+@REG.add("p9_found", encoding_sql.FOUND)
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     evidence, _ = encoding.garbled_words(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
     return evidence.select(F.col("id_").alias("doc_id")).distinct()
