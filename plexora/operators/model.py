@@ -168,7 +168,7 @@ def extended_embeddings(old: DataFrame, names: DataFrame, seed: int = 1) -> Data
 
 def highly_variable(long: DataFrame, n: int, bins: int = 20) -> DataFrame:
     """``(feat, mean, dispersion, score)`` of the ``n`` features that vary most for
-    their mean, the smaller feature first among equals.
+    their mean; the smaller feature first among scores that agree to nine places.
 
     Dispersion is the logarithm of sample variance over mean; the score is its
     distance from the mean of its bin (of equal width over ``log1p`` of the mean)
@@ -183,7 +183,7 @@ def highly_variable(long: DataFrame, n: int, bins: int = 20) -> DataFrame:
     per = materialize(per.select("feat", "mean", "dispersion", "b"), "dispersions")
     of_bin = per.groupBy("b").agg(F.avg("dispersion").alias("a_"), F.stddev_samp("dispersion").alias("s_"))
     score = F.when(F.col("s_").isNull(), F.lit(1.0)).otherwise(F.try_divide(F.col("dispersion") - F.col("a_"), F.col("s_")))
-    return per.join(small_side(of_bin), "b").select("feat", "mean", "dispersion", F.coalesce(score, F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "feat").limit(n)
+    return per.join(small_side(of_bin), "b").select("feat", "mean", "dispersion", F.coalesce(score, F.lit(0.0)).alias("score")).orderBy(F.desc(F.round("score", 9)), "feat").limit(n)
 
 
 def batches(rows: DataFrame, order: Sequence[str], size: int) -> DataFrame:

@@ -446,11 +446,11 @@ def mt11(spark: SparkSession, d: str) -> DataFrame:
     return _r(M.clustering_scores(_confusion(spark, d)), 9, "ari", "nmi")
 
 
-@REG.add("mt11_ami", _SCORES + """, k AS (SELECT truth, pred, CAST(count(*) AS DOUBLE) AS n FROM bs GROUP BY ALL), a AS (SELECT truth, sum(n) AS a FROM k GROUP BY ALL), b AS (SELECT pred, sum(n) AS b FROM k GROUP BY ALL), t AS (SELECT sum(n) AS t FROM k),
-h AS (SELECT (SELECT sum(-a / t * ln(a / t)) FROM a, t) AS ha, (SELECT sum(-b / t * ln(b / t)) FROM b, t) AS hb, (SELECT sum(n / t * ln(n * t / (a * b))) FROM k JOIN a USING (truth) JOIN b USING (pred), t) AS mi),
-c AS (SELECT a, b, t, CAST(unnest(generate_series(CAST(greatest(1, a + b - t) AS BIGINT), CAST(least(a, b) AS BIGINT))) AS DOUBLE) AS n FROM a, b, t),
-e AS (SELECT sum(n / t * ln(t * n / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(n + 1) - lgamma(a - n + 1) - lgamma(b - n + 1) - lgamma(t - a - b + n + 1))) AS e FROM c)
-SELECT round((mi - e) / ((ha + hb) / 2 - e), 6) AS ami FROM h, e""")
+@REG.add("mt11_ami", _SCORES + """, kk AS (SELECT truth, pred, CAST(count(*) AS DOUBLE) AS n FROM bs GROUP BY ALL), aa AS (SELECT truth, sum(n) AS a FROM kk GROUP BY ALL), bb AS (SELECT pred, sum(n) AS b FROM kk GROUP BY ALL), tt AS (SELECT sum(n) AS t FROM kk),
+hh AS (SELECT (SELECT sum(-a / t * ln(a / t)) FROM aa, tt) AS ha, (SELECT sum(-b / t * ln(b / t)) FROM bb, tt) AS hb, (SELECT sum(n / t * ln(n * t / (a * b))) FROM kk JOIN aa USING (truth) JOIN bb USING (pred), tt) AS mi),
+ci AS (SELECT a, b, t, CAST(unnest(generate_series(CAST(greatest(1, a + b - t) AS BIGINT), CAST(least(a, b) AS BIGINT))) AS DOUBLE) AS n FROM aa, bb, tt),
+em AS (SELECT sum(n / t * ln(t * n / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(n + 1) - lgamma(a - n + 1) - lgamma(b - n + 1) - lgamma(t - a - b + n + 1))) AS e FROM ci)
+SELECT round((mi - e) / ((ha + hb) / 2 - e), 6) AS ami FROM hh, em""")
 def mt11_ami(spark: SparkSession, d: str) -> DataFrame:
     return _r(spark.createDataFrame([(M.adjusted_mutual_information(_confusion(spark, d)),)], "ami double"), 6, "ami")
 
@@ -594,7 +594,7 @@ def mt17(spark: SparkSession, d: str) -> DataFrame:
 WITH {SUPPLIER_BRAND}, p AS (SELECT feat, ln(1 + avg(value)) AS mean, ln(var_samp(value) / avg(value)) AS dispersion FROM sb GROUP BY feat HAVING avg(value) > 0 AND var_samp(value) > 0),
 b AS (SELECT *, greatest(ceil((mean - min(mean) OVER ()) / ((max(mean) OVER () - min(mean) OVER ()) / 20)) - 1, 0) AS b FROM p),
 s AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY b) = 1 THEN 1.0 ELSE (dispersion - avg(dispersion) OVER (PARTITION BY b)) / stddev_samp(dispersion) OVER (PARTITION BY b) END AS score FROM b)
-SELECT feat, round(mean, 9) AS mean, round(dispersion, 9) AS dispersion, round(score, 6) AS score FROM s ORDER BY s.score DESC, feat LIMIT 10""")
+SELECT feat, round(mean, 9) AS mean, round(dispersion, 9) AS dispersion, round(score, 6) AS score FROM s ORDER BY round(s.score, 9) DESC, feat LIMIT 10""")
 def mt19_variable(spark: SparkSession, d: str) -> DataFrame:
     return _r(_r(model.highly_variable(materialize(supplier_brand(spark, d), "long"), 10), 9, "mean", "dispersion"), 6, "score")
 
