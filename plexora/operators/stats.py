@@ -33,17 +33,24 @@ def feature_stats(long: DataFrame) -> DataFrame:
     )
 
 
-def windowed_cv(long: DataFrame, spans: Sequence[tuple[int, int]]) -> DataFrame:
+def moments(long: DataFrame) -> DataFrame:
+    """``(feat, mu, n)``: mean and number of the known values, written once."""
+    known = long.where(F.col("value").isNotNull())
+    return materialize(known.groupBy("feat").agg(F.avg(F.col("value").cast("double")).alias("mu"), F.count(F.lit(1)).alias("n")), "moments")
+
+
+def windowed_cv(long: DataFrame, spans: Sequence[tuple[int, int]], per: DataFrame | None = None) -> DataFrame:
     """``(feat, cv)``: the largest coefficient of variation (sample deviation
     over absolute mean) over windows of the sorted values and the full range.
 
     A window mean below 1e-4 or a full mean below 0.01 counts as 0. Prefix sums
     of centred values give each window from two rows, so the work is the sort
     plus one row per window and feature, whatever the window lengths. The last
-    window is the full range even where ``spans`` is empty.
+    window is the full range even where ``spans`` is empty. ``per`` are the
+    :func:`moments` where they are known.
     """
     known = long.where(F.col("value").isNotNull()).select("feat", "obs", F.col("value").cast("double").alias("value"))
-    per = materialize(known.groupBy("feat").agg(F.avg("value").alias("mu"), F.count(F.lit(1)).alias("n")), "moments")
+    per = moments(long) if per is None else per
     c = F.col("value") - F.col("mu")
     terms = known.join(small_side(per), "feat").select("feat", "obs", "value", "mu", "n", F.lit(1).cast("long").alias("one"), c.alias("c"), (c * c).alias("cc"))
     sums = {"r": (F.sum, "one"), "s1": (F.sum, "c"), "s2": (F.sum, "cc")}

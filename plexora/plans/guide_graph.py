@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from plexora.operators import nmic, stats
+from plexora.operators.running import largest
 from plexora.operators.windows import ratio_windows
 from plexora.session import materialize, small_side
 
@@ -38,10 +39,10 @@ def guide_graph(
     """Keep the features that vary most, optionally drop redundant ones, measure
     all pairs and keep those above ``mi``. Every observation needs a value of
     every feature. Features keep their own names or numbers throughout."""
-    n = long.select("obs").distinct().count()
-    spans = ratio_windows(n, least, most, grow, slide)
-    chosen = materialize(stats.top_features(stats.windowed_cv(long, spans), n_features, cv), "chosen")
-    kept = materialize(long.join(small_side(chosen.select("feat")), "feat").select("obs", "feat", "value"), "kept")
+    per = stats.moments(long)
+    spans = ratio_windows(largest(per), least, most, grow, slide)
+    chosen = stats.top_features(stats.windowed_cv(long, spans, per), n_features, cv)
+    kept = long.join(small_side(chosen.select("feat")), "feat").select("obs", "feat", "value")
     similar = None
     if check_similar:
         kept, similar = nmic.without_redundant(kept, spans, pcc)
