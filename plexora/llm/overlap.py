@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plexora.llm.cutoffs import label
 from plexora.llm.splits import reduced
-from plexora.session import materialize
+from plexora.session import BROADCAST_BYTES, BROADCAST_ROWS, materialize
 
 #: Training names a segment may have before its names go by deletions instead.
 BUCKET = 256
@@ -34,31 +35,46 @@ def _segment(i: int, n: Column, parts: int) -> tuple[Column, Column]:
     return (base * i + longer).cast("int"), (base + F.when(F.lit(i) >= F.lit(parts) - extra, 1).otherwise(0)).cast("int")
 
 
-def _index_keys(edits: int) -> Column:
-    """The hashed segments of a training name: one of them survives ``edits`` edits."""
-    n = F.length("name_")
-    keys = []
-    for i in range(edits + 1):
-        at, size = _segment(i, n, edits + 1)
-        keys.append(F.xxhash64(n, F.lit(i), F.substring(F.col("name_"), at + 1, size)))
-    return F.array(*keys)
+def _place(i: int, at: Column, size: Column) -> Column:
+    """A segment's number, start and length in one long."""
+    return (F.lit(i).cast("long") * (1 << 30) + at) * (1 << 30) + size
 
 
-def _probe_keys(edits: int) -> Column:
-    """The hashed substrings of an evaluation name that can equal a segment of a
+def _index_places(edits: int, parts: Iterable[int]) -> Column:
+    """Those segments of a training name: one of all survives ``edits`` edits."""
+    return F.array(*(_place(i, *_segment(i, F.length("name_"), edits + 1)) for i in parts))
+
+
+def _probe_places(edits: int, parts: Iterable[int]) -> Column:
+    """The substrings of an evaluation name that can equal those segments of a
     training name within ``edits``: for segment i only shifts that at most i
-    edits before it and ``edits - i`` after it can cause."""
+    edits before it and ``edits - i`` after it can cause. Training names of
+    different lengths mostly ask for the same substrings, which count once."""
     l = F.length("name_")
-    keys = []
+    places = []
     for d in range(-edits, edits + 1):
         n = l - d  # length of the training name
-        for i in range(edits + 1):
+        for i in parts:
             at, size = _segment(i, n, edits + 1)
             for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
                 start = at + shift
-                ok = (n >= 0) & (start >= 0) & (start + size <= l)
-                keys.append(F.when(ok, F.xxhash64(n, F.lit(i), F.substring(F.col("name_"), start + 1, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+                places.append(F.when((n >= 0) & (start >= 0) & (start + size <= l), _place(i, start, size)))
+    return F.array_distinct(F.array_compact(F.array(*places)))
+
+
+def _keys(names: DataFrame, places: Column, alias: str) -> DataFrame:
+    """``(alias, k_)``: the hashed substrings of every name at its ``places``."""
+    at, size, i = F.shiftright("p_", 30).bitwiseAND((1 << 30) - 1), F.col("p_").bitwiseAND((1 << 30) - 1), F.shiftright("p_", 60)
+    part = F.substring(F.col("name_"), at.cast("int") + 1, size.cast("int"))
+    return names.select("name_", F.explode(places).alias("p_")).select(F.col("name_").alias(alias), F.xxhash64(i, part).alias("k_"))
+
+
+def _written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` as a table of the shared folder. The shuffle files behind it are
+    then of no more use, but stay on disk until the driver collects its garbage."""
+    df = materialize(df, name, **options)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
 
 
 def _deletions(edits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -121,22 +137,30 @@ def near_names(train: DataFrame, other: DataFrame, edits: int = 2) -> DataFrame:
     """
     if edits not in (1, 2):
         raise ValueError("one or two edits")
-    t = train.select("name_").distinct()
-    e = other.select("name_").distinct()
+    return _near(train.select("name_").distinct(), other.select("name_").distinct(), edits)
+
+
+def _near(t: DataFrame, e: DataFrame, edits: int) -> DataFrame:
+    """:func:`near_names` of names that are distinct already."""
     close = F.levenshtein("a_", "b_", edits) >= 0
-    # the same segment may stand for a name under several keys; candidates are few, pairs are made distinct at the end
-    keys = t.select(F.col("name_").alias("a_"), F.explode(_index_keys(edits)).alias("k_"))
-    probes = e.select(F.col("name_").alias("b_"), F.explode(_probe_keys(edits)).alias("k_"))
-    hot = materialize(keys.groupBy("k_").agg(F.count(F.lit(1)).alias("c_")).where(F.col("c_") > BUCKET).select("k_"), "hot")
-    if hot.isEmpty():
-        return keys.join(probes, "k_").where(close).select("a_", "b_").distinct()
-    cold = keys.join(hot, "k_", "left_anti").join(probes, "k_").where(close).select("a_", "b_")
-    ht = keys.join(hot, "k_", "left_semi").select(F.col("a_").alias("name_")).distinct()
-    he = probes.join(hot, "k_", "left_semi").select(F.col("b_").alias("name_")).distinct()
+    keys = lambda *i: _keys(t, _index_places(edits, i), "a_")
+    probes = lambda *i: _keys(e, _probe_places(edits, i), "b_")
+    # Spark sizes both sides as if a name gave one row; a side it thinks small may be hundreds of MB in the driver, so none is broadcast
+    meet = lambda x, y: x.hint("merge").join(y, "k_").where(close).select("a_", "b_")
+    every = range(edits + 1)
+    hot = _written(keys(*every).groupBy("k_").agg(F.count(F.lit(1)).alias("c_")).where(F.col("c_") > BUCKET).select("k_"), "hot")
+    some = not hot.isEmpty()
+    # one segment at a time, so that the names lie on disk under the keys of one only; the same pair may come by several
+    met = [_written(meet(keys(i).join(hot, "k_", "left_anti") if some else keys(i), probes(i)), "near") for i in every]
+    cold = reduce(DataFrame.union, met)
+    if not some:
+        return cold.distinct()
+    ht = keys(*every).join(hot, "k_", "left_semi").select(F.col("a_").alias("name_")).distinct()
+    he = probes(*every).join(hot, "k_", "left_semi").select(F.col("b_").alias("name_")).distinct()
     # many hashes a name: adaptive execution would put the few bytes of the names into one task
     tasks = t.sparkSession.sparkContext.defaultParallelism * 4
     cut = lambda x: x.repartition(tasks, "name_").mapInPandas(_deletions(edits), "name_ string, k_ long")
-    rest = cut(ht).withColumnRenamed("name_", "a_").join(cut(he).withColumnRenamed("name_", "b_"), "k_").where(close).select("a_", "b_")
+    rest = meet(cut(ht).withColumnRenamed("name_", "a_"), cut(he).withColumnRenamed("name_", "b_"))
     return cold.union(rest).distinct()
 
 
@@ -147,9 +171,20 @@ def overlaps(rows: DataFrame, train: str, evals: tuple[str, ...], edits: int = 2
     their name, so a name that a third of all rows bear is one row here.
     """
     t, e = rows.where(F.col("split_") == train), rows.where(F.col("split_").isin(*evals))
-    equal = t.select("name_").distinct().join(e.select("name_").distinct(), "name_").select(F.col("name_").alias("a_"), F.col("name_").alias("b_"))
-    links = near_names(t, e, edits).where(F.col("a_") != F.col("b_")).withColumn("exact_", F.lit(False)).union(equal.withColumn("exact_", F.lit(True)))
-    return materialize(links, "links"), t, e
+    sides = rows.where(F.col("split_").isin(train, *evals)).groupBy("name_")
+    sides = sides.agg(F.max(F.col("split_") == train).alias("t_"), F.max(F.col("split_").isin(*evals)).alias("e_"))
+    names = _written(sides, "names", compression="zstd")
+    equal = names.where("t_ and e_").select(F.col("name_").alias("a_"), F.col("name_").alias("b_"))
+    near = _near(names.where("t_").select("name_"), names.where("e_").select("name_"), edits)
+    links = near.where(F.col("a_") != F.col("b_")).withColumn("exact_", F.lit(False)).union(equal.withColumn("exact_", F.lit(True)))
+    return _written(links, "links"), t, e
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """``links`` to be broadcast if they are few and short, else never: Spark
+    would go by their files, in which repeated names take next to nothing."""
+    n, size = links.agg(F.count(F.lit(1)), F.sum(F.octet_length("a_") + F.octet_length("b_") + 64)).first()
+    return F.broadcast(links) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else links.hint("merge")
 
 
 def overlap_pairs(links: DataFrame, train: DataFrame, other: DataFrame) -> DataFrame:
@@ -157,7 +192,7 @@ def overlap_pairs(links: DataFrame, train: DataFrame, other: DataFrame) -> DataF
     names are linked, the form in which the pairs are asked for."""
     x = train.select(F.col("name_").alias("a_"), F.col("id_").alias("t_"))
     y = other.select(F.col("name_").alias("b_"), F.col("id_").alias("e_"))
-    out = links.join(x, "a_").join(y, "b_").where(F.col("t_") != F.col("e_"))
+    out = _joined(links).join(x, "a_").hint("merge").join(y, "b_").where(F.col("t_") != F.col("e_"))
     return out.select(F.least("t_", "e_").alias("a"), F.greatest("t_", "e_").alias("b")).distinct()
 
 
@@ -168,7 +203,7 @@ def overlap_counts(links: DataFrame, train: DataFrame, other: DataFrame) -> Data
     expanded pairs."""
     per_t = train.groupBy(F.col("name_").alias("a_")).agg(F.count(F.lit(1)).alias("t_"))
     per_e = other.groupBy(F.col("name_").alias("b_"), "split_", "group_").agg(F.count(F.lit(1)).alias("e_"))
-    name = links.join(per_t, "a_").groupBy("b_").agg(F.sum("t_").alias("t_"), F.max(F.col("exact_").cast("int")).alias("x_"))
+    name = _joined(links).join(per_t, "a_").groupBy("b_").agg(F.sum("t_").alias("t_"), F.max(F.col("exact_").cast("int")).alias("x_"))
     return (
         name.join(per_e, "b_")
         .groupBy("split_", "group_")

@@ -60,12 +60,12 @@ def scratch_path(spark: SparkSession, name: str = "table") -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage and
-    survives the loss of any executor."""
+    survives the loss of any executor. ``options`` are those of the writer."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

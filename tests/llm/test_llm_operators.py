@@ -382,6 +382,21 @@ def test_overlap_counts_and_empty(spark):
     assert overlap.overlap_pairs(links, t, e).collect() == [] and overlap.overlap_counts(links, t, e).collect() == []
 
 
+@pytest.mark.parametrize("bucket", [256, 2])
+def test_overlaps_broadcast_nothing_of_unknown_size(spark, monkeypatch, bucket):
+    # a few names are small, what their substrings and deletions give is not; files of links tell as little
+    monkeypatch.setattr(overlap, "BUCKET", bucket)
+    monkeypatch.setattr(overlap, "BROADCAST_ROWS", 3, raising=False)
+    data = [(i, f"sample{i % 7}{i:04d}ec", "trn" if i % 2 else "val", "r") for i in range(40)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in data], NAMES)
+    inner = lambda x: [y for y in x._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in y and "Inner" in y]
+    found, write = [], overlap.materialize
+    monkeypatch.setattr(overlap, "materialize", lambda x, *a, **k: (found.extend(inner(x)), write(x, *a, **k))[1])
+    pairs = overlap.overlap_pairs(*overlap.overlaps(overlap.canonical_rows(df, "obs_id", "obs_names", "split", "tissue"), "trn", ("val",)))
+    assert not found and not inner(pairs)
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == brute_pairs(data)
+
+
 # ---------------------------------------------------------------------- top n
 
 PAIRS = "npz_id string, u long, v long, w double, rank_ int, run_ string"
